@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE, LOW = 32, 8
 
@@ -55,7 +56,7 @@ def grey(height, width, channels, data) -> np.ndarray | None:
     return p[:, :, 0] if channels == 1 else np.rint(0.114 * p[:, :, 0] + 0.587 * p[:, :, 1] + 0.299 * p[:, :, 2])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def phash_column(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     small = [None if (g := grey(*x)) is None else resized(g) for x in zip(height, width, channels, data)]
     ok = [i for i, s in enumerate(small) if s is not None]
@@ -68,7 +69,7 @@ def phash_column(height: pd.Series, width: pd.Series, channels: pd.Series, data:
 def phash_of_array(pixels: Column, variant: str = "block8") -> Column:
     """Hash of an array of 1024 grey values; null for null and other lengths."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def of(p: pd.Series) -> pd.Series:
         ok = [i for i, x in enumerate(p) if x is not None and len(x) == SIDE * SIDE]
         out = pd.Series([None] * len(p), dtype="Int64")
