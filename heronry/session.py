@@ -6,8 +6,11 @@ Iterative operators cut their lineage by writing a table to the folder named in
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so they need no copy of the repository."""
+    sc = spark.sparkContext
+    if getattr(sc, "_heronry_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    fd, at = tempfile.mkstemp(prefix="heronry-", suffix=".zip")
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(at)
+    sc._heronry_shipped = True
+
+
 class Scratch:
     """Tables of one operator run under the shared folder."""
 
