@@ -1,4 +1,4 @@
-"""Connected components of an edge table, for the reference's own grouping operators.
+"""Connected components of an edge table, for the grouping operators of the core.
 
 Min-label star contraction: each round links every vertex of an edge to the smallest neighbour it knows, until no label
 changes. Rounds are cut by tables in the shared folder.
