@@ -178,6 +178,12 @@ def search_cell(index: Index, cell: int, x_id: np.ndarray, x_raw: np.ndarray, q_
         s = qz.scan(codes, block) + block @ centre
         if least is not None:
             r, c = np.nonzero(s >= (least - slack)[:, None])
+            if len(r):  # single precision first: few of these pairs are near the limit, and a crowded cell has many
+                if len(r) > 8 * len(x):
+                    near = (x @ block.T)[r, c]
+                else:
+                    near = np.concatenate([np.einsum("nd,nd->n", x[r[j:j + 20_000]], block[c[j:j + 20_000]]) for j in range(0, len(r), 20_000)])
+                r, c = r[near >= least - 1e-4], c[near >= least - 1e-4]
         else:
             deep = min(len(x), rerank)
             r = np.argpartition(-s, deep - 1, axis=0)[:deep].ravel()
@@ -185,9 +191,6 @@ def search_cell(index: Index, cell: int, x_id: np.ndarray, x_raw: np.ndarray, q_
         rows.append(r)
         cols.append(c + i)
     r, c = np.concatenate(rows), np.concatenate(cols)
-    if least is not None and len(r) > 20_000:  # single precision first, where a pair is far from the limit
-        keep = np.concatenate([np.einsum("nd,nd->n", x[r[i:i + 20_000]], q[c[i:i + 20_000]]) >= least - 1e-4 for i in range(0, len(r), 20_000)])
-        r, c = r[keep], c[keep]
     x8, q8 = unit(x_raw[xf], np.float64), unit(q_raw[qf], np.float64)
     cosine = np.concatenate([np.einsum("nd,nd->n", x8[r[i:i + 20_000]], q8[c[i:i + 20_000]]) for i in range(0, len(r), 20_000)] or [np.empty(0)])
     if least is not None:
