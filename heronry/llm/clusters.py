@@ -53,8 +53,9 @@ def linkage(means: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.
         if not on.all():
             live, s = live[on], s[np.ix_(on, on)]
         # near ties: every row prefers by one symmetric order, else copies would merge one pair a round
-        h = (live * 2654435761 % 4294967296).astype(np.uint64)
-        s += ((h[:, None] ^ h[None, :]) * np.uint64(0x9E3779B1) % np.uint64(1 << 20)).astype(np.float32) * np.float32(2e-6 / (1 << 20))
+        h = (live * 2654435761 % 4294967296).astype(np.uint32)
+        for i in range(0, len(live), 256):  # by rows: the order of all pairs at once would outweigh the similarities
+            s[i:i + 256] += (((h[i:i + 256, None] ^ h[None, :]) * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.float32) * np.float32(2e-6 / (1 << 20))
         best = s.argmax(1)
         a = np.arange(len(live))
         mutual = (best[best] == a) & (a < best)
