@@ -12,6 +12,10 @@ clusters that are left, and there are no links to be resolved. Batches of the in
 cluster with a third of all rows arrives as a few means per batch. A cell that holds too many clusters is cut into blocks by a
 hash that differs from round to round.
 
+The rounds do not show that no pair is left, so an exact pass ends them: every mean left is compared with every other, block
+by block against a broadcast, and mutual best pairs are merged until there is no pair. After the first comparison only merged
+clusters are compared again. Its cost is the square of the clusters left; it is skipped if the last round was one cell.
+
 Defined cases: vectors that are null, of another length, all zero or hold NaN, null or an infinity are in no cluster; equal
 similarities are merged in an order fixed by a hash; copies fall into one cluster; no usable vectors give no rows.
 """
@@ -34,6 +38,7 @@ MOST_CELLS = 4096
 MOST_IN_BLOCK = 4000
 QUIET = 2
 MOST_ROUNDS = 24
+ROWS_PER_BROADCAST = 16_384
 
 
 def linkage(means: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,6 +112,66 @@ def _in_batches(threshold: float, dim: int, block: int = 1500):
     return run
 
 
+def pairs(heads: DataFrame, threshold: float, dim: int, scratch: Scratch) -> list[DataFrame]:
+    """Tables (a, b, s), a < b: all pairs of heads (id, n, v, fresh) with inner product s at the threshold, one of them fresh."""
+    spark = heads.sparkSession
+    k = -(-heads.where("fresh").count() // ROWS_PER_BROADCAST)
+    placed = heads.select("id", F.when(F.col("fresh"), F.pmod(F.xxhash64("id"), F.lit(max(1, k)))).otherwise(-1).cast("int").alias("part"), "v")
+    out = []
+    for part in range(k):
+        some = placed.where(F.col("part") == part).select("id", "v").toArrow()
+        sent = spark.sparkContext.broadcast((some.column(0).to_numpy(), matrix(some.column(1), dim)))
+
+        def compare(batches, sent=sent, part=part):
+            other, x = sent.value
+            for b in batches:
+                ids, of, v = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), dim)
+                for i in range(0, len(ids), 256):
+                    r, c = np.nonzero(v[i:i + 256] @ x.T >= threshold - 1e-5)  # single precision first
+                    r += i
+                    once = (of[r] != part) | (ids[r] < other[c])
+                    r, c = r[once], c[once]
+                    for j in range(0, len(r), 20_000):
+                        p, q = r[j:j + 20_000], c[j:j + 20_000]
+                        s = np.einsum("nd,nd->n", v[p].astype(np.float64), x[q].astype(np.float64))
+                        p, q, s = (y[s >= threshold] for y in (p, q, s))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], other[q])), pa.array(np.maximum(ids[p], other[q])), pa.array(s)], names=["a", "b", "s"])
+
+        out.append(scratch.save(placed.where((F.col("part") < 0) | (F.col("part") >= part)).mapInArrow(compare, "a long, b long, s double"), "pairs"))
+        sent.destroy()
+    return out
+
+
+def finish(heads: DataFrame, threshold: float, dim: int, scratch: Scratch) -> tuple[DataFrame | None, DataFrame]:
+    """Merge mutual best pairs of heads (id, n, v) until no pair is at the threshold: (moves (rep, to), if any, heads)."""
+    heads = heads.withColumn("fresh", F.lit(True))
+    moves, links = None, None
+    while True:
+        for p in pairs(heads, threshold, dim, scratch):
+            links = p if links is None else links.union(p)
+        links = None if links is None else scratch.save(links, "links")
+        if links is None or links.isEmpty():
+            return moves, heads.select("id", "n", "v")
+        both = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "s", F.xxhash64("a", "b").alias("h"))
+        both = both.union(both.select("other", "id", "s", "h"))
+        best = both.groupBy("id").agg(F.max(F.struct("s", "h", "other"))["other"].alias("other"))  # h: one order of equal pairs for both ends
+        step = best.join(best.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).where("id < other")
+        step = scratch.save(step.select(F.col("other").alias("rep"), F.col("id").alias("to")), "step")
+        if step.isEmpty():
+            raise RuntimeError("pairs are left but none is mutual")
+        touched = step.select(F.col("rep").alias("id")).union(step.select("to"))
+        side = lambda key, at: heads.select(F.col("id").alias(key), F.col("n").alias(f"n{at}"), F.col("v").alias(f"v{at}"))
+        mean = F.zip_with("v1", "v2", lambda p, q: ((p.cast("double") * F.col("n1") + q.cast("double") * F.col("n2")) / (F.col("n1") + F.col("n2"))).cast("float"))
+        merged = step.join(side("to", 1), "to").join(side("rep", 2), "rep").select(F.col("to").alias("id"), (F.col("n1") + F.col("n2")).alias("n"), mean.alias("v"), F.lit(True).alias("fresh"))
+        heads = scratch.save(heads.join(touched, "id", "left_anti").select("id", "n", "v", F.lit(False).alias("fresh")).union(merged), "heads")
+        for end in ("a", "b"):
+            links = links.join(touched.select(F.col("id").alias(end)), end, "left_anti").select("a", "b", "s")
+        if moves is not None:
+            then = moves.join(step.select(F.col("rep").alias("to"), F.col("to").alias("next")), "to", "left")
+            step = scratch.save(then.select("rep", F.coalesce("next", "to").alias("to")).union(step), "moves")
+        moves = step
+
+
 def cluster(vectors: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, rows_per_cell: int = ROWS_PER_CELL, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Vectors (id long, v array<float>, all usable) to members (id, rep) and clusters (rep, n, v): rep is the smallest id of
     the cluster, n its size, v the mean of its unit vectors."""
@@ -114,7 +179,7 @@ def cluster(vectors: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, ro
     scratch = scratch or Scratch(spark, "clusters")
     now = scratch.save(vectors.mapInArrow(_in_batches(threshold, dim), _SCHEMA), "merged")
     members = now.select("id", "rep")
-    quiet, left = 0, now.where("v IS NOT NULL").count()
+    quiet, whole, left = 0, False, now.where("v IS NOT NULL").count()
     for r in range(MOST_ROUNDS):
         if quiet >= QUIET or left <= 1:
             break
@@ -127,6 +192,7 @@ def cluster(vectors: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, ro
         anchors = x[:k]
         share = np.bincount(nearest(x, anchors), minlength=len(anchors)) / len(x)
         blocks = np.maximum(1, np.ceil(share * left / (2 * rows_per_cell))).astype(np.int64)
+        whole = len(anchors) == 1 and blocks[0] == 1 and left <= MOST_IN_BLOCK
         sent = spark.sparkContext.broadcast((anchors, blocks))
 
         def to_cell(batches, sent=sent, r=r):
@@ -156,7 +222,12 @@ def cluster(vectors: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, ro
         if r:
             scratch.drop(now)
         now, left = after, fewer
-    return members, now.where("v IS NOT NULL").select("rep", "n", "v")
+    heads = now.where("v IS NOT NULL").select("id", "n", "v")
+    if left > 1 and not whole:
+        moves, heads = finish(heads, threshold, dim, scratch)
+        if moves is not None:
+            members = members.join(moves, "rep", "left").select("id", F.coalesce("to", "rep").alias("rep"))
+    return members, heads.withColumnRenamed("id", "rep")
 
 
 def p6_found(spark, folder: str) -> DataFrame:

@@ -199,6 +199,25 @@ def test_hot_cluster(spark, folder):
     assert [(r["cluster_face_id"], r["faces"], len(r["typical"])) for r in c] == [(1, 60, 3)]
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_parted_clusters(spark, monkeypatch, rounds):
+    """Batches, cells and blocks part clusters and the rounds stop too early: the exact pass puts all together again."""
+    rng = np.random.default_rng(61)
+    group = np.arange(120) % 12
+    v = rng.normal(size=(12, 128))[group] + rng.normal(size=(120, 128)) * 0.3
+    v = np.concatenate([v, rng.normal(size=(60, 128))])
+    df = spark.createDataFrame([(i + 1, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<float>").repartition(4)
+    monkeypatch.setattr(clusters, "MOST_ROUNDS", rounds)
+    monkeypatch.setattr(clusters, "MOST_IN_BLOCK", 5)
+    monkeypatch.setattr(clusters, "ROWS_PER_BROADCAST", 20, raising=False)
+    members, found = clusters.cluster(df, rows_per_cell=8)
+    assert rows(members) == [(i + 1, i % 12 + 1 if i < 120 else i + 1) for i in range(180)]
+    got = {r["rep"]: r for r in found.collect()}
+    assert {k: r["n"] for k, r in got.items()} == {i + 1: 10 if i < 12 else 1 for i in [*range(12), *range(120, 180)]}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert all(np.allclose(got[g + 1]["v"], u[:120][group == g].mean(0), atol=1e-5) for g in range(12))
+
+
 # p7
 
 def test_pairs_increment(spark):
