@@ -72,7 +72,7 @@ def glob_regex(pattern: str) -> str:
         else:
             out += re.escape(c)
         i += 1
-    return f"(?s)^{out}$"
+    return f"(?s)^{out}(?!.)"  # Java's $ would also match before a final line break
 
 
 def ignored(name: Column, patterns: list[str] = ()) -> Column:

@@ -160,7 +160,13 @@ def trash_names(spark, d):
 
 @query("watch_ignore", "SELECT file_path FROM watcher_events WHERE file_path IS NOT NULL AND NOT (starts_with(n, '.') OR n IN ('.DS_Store', 'Thumbs.db') OR regexp_matches(n, '(\\.tmp|\\.part|\\.crdownload)$') OR regexp_matches(n, '^thumb_.*$') OR regexp_matches(n, '^.*[_-]edit\\..*$') OR regexp_matches(n, '^P[0-4].*\\.jp.g$'))".replace("FROM watcher_events", "FROM (SELECT file_path, regexp_extract(file_path, '([^/]*)$', 1) AS n FROM watcher_events WHERE NOT regexp_matches(file_path, '\\s$'))"))
 def watch_ignore(spark, d):
-    e = table(spark, d, "watcher_events").where("file_path IS NOT NULL AND NOT file_path RLIKE '\\\\s$'")
+    return watch_ignore_all(spark, d).where("NOT file_path RLIKE '\\\\s$'")  # as its SQL has it
+
+
+@query("watch_ignore_all")
+def watch_ignore_all(spark, d):
+    """Every event whose file a watcher does not pass over; white space at the end of a name is part of it."""
+    e = table(spark, d, "watcher_events").where("file_path IS NOT NULL")
     return e.where(~ignored(basename(F.col("file_path")), ["thumb_*", "*[_-]edit.*", "P[0-4]*.jp?g"])).select("file_path")
 
 
