@@ -151,6 +151,14 @@ def tags_insert_or_ignore(spark, d):
     return both.groupBy(F.col("run_id").isNull().alias("no_run")).agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
 
 
+@query("tags_insert_or_ignore_all")
+def tags_insert_or_ignore_all(spark, d):
+    """All tags put into those of one run; every row is read."""
+    t = table(spark, d, "media_tags").select("file_id", "category_id", "run_id", "confidence")
+    all_ = ops.insert_or_ignore(t.where(F.col("run_id") == RUN), t, ["file_id", "category_id", "run_id"])
+    return all_.groupBy(F.col("run_id").isNull().alias("no_run")).agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
+
+
 @query("run_config_replace", """SELECT id, CASE WHEN id % 3 = 0 THEN upper(name) ELSE name END AS name FROM people""")
 def run_config_replace(spark, d):
     p = table(spark, d, "people").select("id", "name")

@@ -207,3 +207,21 @@ def test_gap_batches(spark):
 def test_compression(spark):
     f = spark.createDataFrame([("a", 100, 40), ("a", 100, None), ("b", 0, 0)], "k string, size_before long, size_after long")
     assert rows(media.compression_statistics(f, ["k"])) == [("a", 2, 1, 200, 140, 60, 30.0), ("b", 1, 0, 0, 0, 0, 0.0)]
+
+
+def test_tags_insert_or_ignore_all(spark, data):
+    """Every row of media_tags is in the table, is one of the new rows, or is passed over for its key."""
+    import pandas as pd
+
+    from heronry.plans.catalog import RUN, tags_insert_or_ignore_all
+
+    t = pd.read_parquet(f"{data}/media_tags.parquet")[["file_id", "category_id", "run_id"]]
+    t = [tuple(None if pd.isna(x) else x for x in r) for r in t.itertuples(index=False)]
+    out = [r for r in t if r[2] == RUN]
+    have = set(out)
+    for r in t:
+        if None in r or r not in have:
+            out.append(r)
+            have.add(r)
+    part = lambda none: [r[0] for r in out if (r[2] is None) == none]
+    assert rows(tags_insert_or_ignore_all(spark, data)) == [(none, len(part(none)), len(set(part(none)) - {None})) for none in (False, True)]
