@@ -39,6 +39,7 @@ SAMPLE = 65_536
 ROWS_PER_CELL = 400
 MOST_CELLS = 4096
 ROWS_PER_BLOCK = 20_000
+QUERIES_PER_BROADCAST = 8192
 Z = 1.25
 SCORE = 0.5  # inner products above this are those the quantisation cares for
 
@@ -293,6 +294,56 @@ def similar(vectors: DataFrame, k: int, least: float | None = None, queries: Dat
     return found.withColumn("_rank", best).where(F.col("_rank") <= k).drop("_rank")
 
 
+def best_of(q_id: np.ndarray, q: np.ndarray, batches, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, x, cosine) of the k best rows x of batches (ids, unit rows) for each query, by cosine to 9 digits, then id."""
+    top, at = np.full((len(q_id), k), -np.inf), np.full((len(q_id), k), -1, np.int64)
+    for ids, x in batches:
+        for i in range(0, len(q_id), 512):
+            s = (q[i:i + 512] @ x.T).round(9)
+            s[q_id[i:i + 512, None] == ids[None, :]] = -np.inf
+            bar = top[i:i + 512, -1].copy()
+            if len(ids) > k and np.isinf(bar).any():
+                bar = np.maximum(bar, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k])
+            r, c = np.nonzero((s >= bar[:, None]) & (s > -np.inf))
+            some = np.unique(r)  # queries for which anything changes
+            old = np.isfinite(top[i + some])
+            o_r, o_c = np.nonzero(old)
+            rows = np.concatenate([r, some[o_r]])
+            score = np.concatenate([s[r, c], top[i + some[o_r], o_c]])
+            which = np.concatenate([ids[c], at[i + some[o_r], o_c]])
+            order = np.lexsort((which, -score, rows))
+            rows, score, which = rows[order], score[order], which[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            m = rank < k
+            top[i + rows[m], rank[m]], at[i + rows[m], rank[m]] = score[m], which[m]
+    r, c = np.nonzero(np.isfinite(top))
+    return q_id[r], at[r, c], top[r, c]
+
+
+def most_similar(vectors: DataFrame, k: int, queries: DataFrame, dim: int = DIM, scratch: Scratch | None = None) -> DataFrame:
+    """(q, x, cosine): exactly the k most similar rows x of ``vectors`` for each q of ``queries``, both (id, v) and usable.
+
+    Every row is compared with every query, the queries broadcast in blocks; a task keeps k rows a query."""
+    spark = vectors.sparkSession
+    scratch = scratch or Scratch(spark, "most_similar")
+    blocks = -(-queries.count() // QUERIES_PER_BROADCAST)
+    found = spark.createDataFrame([], "q long, x long, cosine double")
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").toArrow()
+        sent = spark.sparkContext.broadcast((some.column(0).to_numpy(), unit(matrix(some.column(1), dim), np.float64)))
+
+        def scan(batches, sent=sent):
+            q_id, q = sent.value
+            q, x, cosine = best_of(q_id, q, ((b.column(0).to_numpy(), unit(matrix(b.column(1), dim), np.float64)) for b in batches if b.num_rows), k)
+            for i in range(0, len(q), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(y[i:i + 10_000]) for y in (q, x, cosine)], names=["q", "x", "cosine"])
+
+        found = found.union(scratch.save(vectors.select("id", "v").mapInArrow(scan, "q long, x long, cosine double"), "found"))
+        sent.destroy()
+    best = F.row_number().over(W.partitionBy("q").orderBy(F.col("cosine").desc(), "x"))
+    return found.withColumn("_rank", best).where(F.col("_rank") <= k).drop("_rank")
+
+
 def index_probes(index: Index, x: np.ndarray, cosine: float, z: float, step: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = [(i, *index.probes(x[i:i + step], cosine, z)) for i in range(0, len(x), step)]
     return np.concatenate([h for _, h, _, _ in parts]), np.concatenate([r + i for i, _, r, _ in parts]), np.concatenate([c for _, _, _, c in parts])
@@ -321,5 +372,5 @@ def p3_found(spark, folder: str) -> DataFrame:
 def p3_similar(spark, folder: str) -> DataFrame:
     """(face_id, similar_id, cosine): the ten most similar faces of every face whose id is divisible by 100, among all."""
     f = faces(spark, folder)
-    s = similar(f, k=10, queries=f.where(F.col("id") % 100 == 0), z=4.0, probe_cosine=0.9)
+    s = most_similar(f, k=10, queries=f.where(F.col("id") % 100 == 0), scratch=Scratch(spark, "p3"))
     return s.select(F.col("q").alias("face_id"), F.col("x").alias("similar_id"), "cosine")

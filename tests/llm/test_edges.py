@@ -218,6 +218,20 @@ def test_parted_clusters(spark, monkeypatch, rounds):
     assert all(np.allclose(got[g + 1]["v"], u[:120][group == g].mean(0), atol=1e-5) for g in range(12))
 
 
+def test_most_similar_is_exact(spark, folder, monkeypatch):
+    """The ten nearest of faces without close ones, over several cells, batches and blocks of queries; copies tie by id."""
+    monkeypatch.setattr(neighbours, "QUERIES_PER_BROADCAST", 10, raising=False)
+    v = np.random.default_rng(33).normal(size=(2500, 128)).astype(np.float32)
+    v[40:80] = v[100]
+    d = write_faces(folder, [(i, x) for i, x in enumerate(v)])
+    u = v.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = (u @ u.T).round(9)
+    np.fill_diagonal(s, -2)
+    want = sorted((i, int(j)) for i in range(0, 2500, 100) for j in np.lexsort((np.arange(2500), -s[i]))[:10])
+    assert rows(neighbours.p3_similar(spark, d).select("face_id", "similar_id")) == want
+
+
 # p7
 
 def test_pairs_increment(spark):
