@@ -1,9 +1,13 @@
 """Grouping records into similarity clusters (problem 6): average linkage by reciprocal nearest neighbours.
 
 The similarity of two clusters is the mean cosine of their pairs, which is the inner product of their mean vectors; so a
-cluster is its mean vector, its size and its smallest id, however large it is. On the sparse graph of similarities at the
-threshold or above, all mutual best pairs are merged in parallel, means and similarities are renewed, and so on until no
-pair is left. Merging mutual best pairs gives the same tree as merging the best pair first.
+cluster is its mean vector, its size and its smallest id, however large it is. Mutual best pairs at the threshold or above are
+merged in parallel, means and similarities are renewed, and so on until no pair is left.
+
+Best is meant locally: within a piece of an input batch, then within a cell or block of a round; only the exact pass at the end
+sees all. Where clusters are clean (the threshold or more within, less between) the result is that of merging the best pair of
+all first. Where similarities are graded it can be another one, that depends on files and batches; no pair of clusters at the
+threshold is left in either case.
 
 The graph is built cell by cell. In each round some current clusters, drawn afresh, become anchors; every cluster goes to its
 nearest anchor, and each cell is merged to the end. Two clusters that a round's anchors part meet in another round; the
