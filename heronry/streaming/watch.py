@@ -77,15 +77,16 @@ def not_processed(found: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def run_pipeline(stable: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Run the steps in order on every micro-batch and append (file_path, step, status, error) to the sink. A step that fails
-    is told for its files and the next goes on. A repeated micro-batch overwrites its own folder: at least once, told once."""
+    """Run the steps in order on every micro-batch, write what each gives to ``sink``-results/step=NAME/batch=N and append
+    (file_path, step, status, error) to the sink. A step that fails is told for its files and the next goes on. A repeated
+    micro-batch overwrites its own folders: at least once, told once."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         told = None
         for name, f in steps:
             try:
-                f(batch).write.format("noop").mode("overwrite").save()
+                f(batch).write.mode("overwrite").parquet(f"{sink.rstrip('/')}-results/step={name}/batch={number}")
                 status, error = "completed", None
             except Exception as e:  # noqa: BLE001
                 status, error = "failed", str(e)[:500]

@@ -25,6 +25,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(told) == sorted((f, s, st) for f in want for s, st in (("classify", "completed"), ("organise", "failed"), ("dedupe", "completed")))
 
 
+def test_results_of_steps_are_kept(spark, tmp_path):
+    spark.createDataFrame([("/w/a",), ("/w/b",)], "file_path string").write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("file_path string").parquet(str(tmp_path / "in"))
+    steps = [("groups", lambda b: b.groupBy().agg(F.array_sort(F.collect_list("file_path")).alias("paths"))), ("plan", lambda b: b.select("file_path", F.lit("/x").alias("dst")))]
+    q = watch.run_pipeline(s, steps, str(tmp_path / "out"), str(tmp_path / "log"))
+    q.awaitTermination(120)
+    q.stop()
+    read = lambda name: spark.read.parquet(str(tmp_path / f"out-results/step={name}")).drop("batch").collect()
+    assert [r["paths"] for r in read("groups")] == [["/w/a", "/w/b"]]
+    assert sorted(tuple(r) for r in read("plan")) == [("/w/a", "/x"), ("/w/b", "/x")]
+
+
 def test_gap_windows(spark, tmp_path):
     rows = [(1, "a", 0), (1, "b", 3), (1, "c", 10), (2, "d", 1), (1, "z", 1000)]
     spark.createDataFrame(rows, "config_id long, file_path string, t long").select("config_id", "file_path", F.timestamp_seconds("t").alias("stable_at")).write.parquet(str(tmp_path / "in"))
