@@ -161,6 +161,26 @@ def _smallest(ids: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, n
     return g[keep], i[keep]
 
 
+def _least(ids: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The smallest id of each group 0, 1, ..."""
+    out = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(out, group, ids)
+    return out
+
+
+def _first(group: np.ndarray, order: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the first k of their group."""
+    at = np.lexsort((tie, order, group))
+    g = group[at]
+    keep = np.empty(len(g), bool)
+    keep[at] = np.arange(len(g)) - np.searchsorted(g, g) < k
+    return keep
+
+
+def _cosines(x: np.ndarray, q: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("nd,nd->n", x[r[i:i + 20_000]], q[c[i:i + 20_000]]) for i in range(0, len(r), 20_000)] or [np.empty(0)])
+
+
 def search_cell(index: Index, cell: int, x_id: np.ndarray, x_raw: np.ndarray, q_id: np.ndarray, q_raw: np.ndarray, k: int, least: float | None, rerank: int) -> pd.DataFrame:
     """q, x, cosine: what the rows of one cell have for its queries; without those that cannot be among k most similar."""
     none = pd.DataFrame({"q": np.empty(0, np.int64), "x": np.empty(0, np.int64), "cosine": np.empty(0)})
@@ -173,7 +193,10 @@ def search_cell(index: Index, cell: int, x_id: np.ndarray, x_raw: np.ndarray, q_
     codes, par = qz.encode(x, x - centre)
     err = np.linalg.norm(x - centre - qz.decode(codes), axis=1)
     slack = np.abs(par) + (np.sqrt(2 - 2 * least) * err if least is not None else 0) + 1e-4
+    x8, q8 = unit(x_raw[xf], np.float64), unit(q_raw[qf], np.float64)
+    x_least, q_least = _least(x_id, xg), _least(q_id, qg)
     rows, cols = [], []
+    best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # of each row so far: (row, query, cosine)
     for i in range(0, len(q), 256):
         block = q[i:i + 256]
         s = qz.scan(codes, block) + block @ centre
@@ -185,18 +208,30 @@ def search_cell(index: Index, cell: int, x_id: np.ndarray, x_raw: np.ndarray, q_
                 else:
                     near = np.concatenate([np.einsum("nd,nd->n", x[r[j:j + 20_000]], block[c[j:j + 20_000]]) for j in range(0, len(r), 20_000)])
                 r, c = r[near >= least - 1e-4], c[near >= least - 1e-4]
+            if not len(r):
+                continue
+            c = c + i
+            cosine = _cosines(x8, q8, r, c)
+            r, c, cosine = (y[cosine >= least] for y in (r, c, cosine))
+            # a query has met all rows of the block, a row goes on; one more than k, as either may meet itself
+            m = _first(c, -cosine.round(9), x_least[r], k + 1)
+            rows.append(r[m])
+            cols.append(c[m])
+            best = tuple(np.concatenate(y) for y in zip(best, (r, c, cosine)))
+            m = _first(best[0], -best[2].round(9), q_least[best[1]], k + 1)
+            best = tuple(y[m] for y in best)
+            continue
         else:
             deep = min(len(x), rerank)
             r = np.argpartition(-s, deep - 1, axis=0)[:deep].ravel()
             c = np.tile(np.arange(len(block)), deep)
         rows.append(r)
         cols.append(c + i)
-    r, c = np.concatenate(rows), np.concatenate(cols)
-    x8, q8 = unit(x_raw[xf], np.float64), unit(q_raw[qf], np.float64)
-    cosine = np.concatenate([np.einsum("nd,nd->n", x8[r[i:i + 20_000]], q8[c[i:i + 20_000]]) for i in range(0, len(r), 20_000)] or [np.empty(0)])
     if least is not None:
-        keep = cosine >= least
-        r, c, cosine = r[keep], c[keep], cosine[keep]
+        r, c = np.divmod(np.unique(np.concatenate([*rows, best[0]]) * len(q) + np.concatenate([*cols, best[1]])), len(q))
+    else:
+        r, c = np.concatenate(rows), np.concatenate(cols)
+    cosine = _cosines(x8, q8, r, c)
     # vectors back to ids: of each group of copies the k + 1 smallest ids are enough, on either side
     gx, ix = _smallest(x_id, xg, k + 1)
     gq, iq = _smallest(q_id, qg, k + 1)

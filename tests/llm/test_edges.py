@@ -218,6 +218,27 @@ def test_parted_clusters(spark, monkeypatch, rounds):
     assert all(np.allclose(got[g + 1]["v"], u[:120][group == g].mean(0), atol=1e-5) for g in range(12))
 
 
+def test_crowded_cell_keeps_few(monkeypatch):
+    """Of a tight group of different vectors, a cell holds a few pairs a query and a row, not the square, and loses none."""
+    rng = np.random.default_rng(34)
+    x = (rng.normal(size=128) + rng.normal(size=(900, 128)) * 0.1).astype(np.float32)
+    x[50:55] = x[700]  # further copies than k + 1 are told by overflow()
+    x[60:65] = x[701] * np.float32(2)
+    ids = rng.permutation(900).astype(np.int64)
+    index = neighbours.Index(neighbours.unit(x), len(x), rows_per_cell=1000)
+    widest = [0]
+    monkeypatch.setattr(neighbours.np, "repeat", lambda a, n, f=np.repeat, **kw: (widest.append(len(a)), f(a, n, **kw))[1])
+    got = neighbours.search_cell(index, 0, ids, x, ids, x, 5, 0.96, 64)
+    monkeypatch.undo()
+    assert max(widest) <= 2 * 6 * len(x)
+    u = neighbours.unit(x, np.float64)
+    s = (u @ u.T).round(9)
+    np.fill_diagonal(s, -2)
+    assert (s >= 0.96).sum() > 100 * len(x)
+    want = {(int(ids[i]), int(ids[j])) for i in range(900) for j in np.lexsort((ids, -s[i]))[:5]}
+    assert want <= set(zip(got["q"], got["x"])) and want <= {(b, a) for a, b in zip(got["q"], got["x"])}
+
+
 def test_most_similar_is_exact(spark, folder, monkeypatch):
     """The ten nearest of faces without close ones, over several cells, batches and blocks of queries; copies tie by id."""
     monkeypatch.setattr(neighbours, "QUERIES_PER_BROADCAST", 10, raising=False)
