@@ -40,12 +40,23 @@ def canonical_path(path: str | None) -> str | None:
     return ("/" if root else "") + "/".join(steps) or None
 
 
+# A path in plain spelling, of ASCII and of Latin letters below U+0300 (composed, as no mark can follow them): no backslash, no empty or dotted step, no blank at an end, no URL form, no slash at its end.
+_PLAIN = r"^(?![Ff][Ii][Ll][Ee]:|[. ])(?:[ -.0-\[\]-~¡-˿]|/(?![/.]|\z))+(?<! )\z"
+
+
 @F.pandas_udf(T.StringType())
-def path_key(paths: pd.Series) -> pd.Series:
-    """canonical_path of a column; Python only for Unicode composition, which Spark has no function for."""
+def _spelled(paths: pd.Series) -> pd.Series:
     return pd.Series([canonical_path(p) for p in paths], dtype=object)
 
 
+def path_key(path: Column | str) -> Column:
+    """canonical_path of a column. Paths in plain spelling are taken as they are; only the others go to Python, as Spark has
+    no function for Unicode composition."""
+    c = F.col(path) if isinstance(path, str) else path
+    plain = F.coalesce(c.rlike(_PLAIN), F.lit(False))
+    return F.when(plain, c).otherwise(_spelled(F.when(~plain, c)))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

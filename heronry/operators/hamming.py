@@ -6,12 +6,16 @@ choice of m blocks is a mask; equal masked values are candidates, bit_count veri
 
 Buckets over ``cap`` are not paired: their rows get further keys from another split of the bits (which the same argument
 covers), level by level. No candidate is dropped.
+
+How many blocks must agree follows the number of different hashes: one while buckets of one block are small (6 keys at
+t = 5 up to 65,000 hashes), then two (21 keys), three (56), so that a bucket keeps about the same size at any scale.
 """
 
 from __future__ import annotations
 
 import random
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +24,8 @@ from heronry.functions.hashes import hamming
 from heronry.session import Scratch
 
 _LEVELS = 5
+_IN_BUCKET = 64
+_MOST_KEYS = 300
 
 
 def _signed(mask: int) -> int:
@@ -36,6 +42,14 @@ def masks(threshold: int, agree: int = 2, level: int = 0) -> list[int]:
     return [_signed(sum(x)) for x in combinations(blocks, agree)]
 
 
+def agreeing(threshold: int, n: int) -> int:
+    """How many blocks must agree for about _IN_BUCKET of n hashes in a bucket, with at most _MOST_KEYS keys a hash."""
+    m = 1
+    while n > _IN_BUCKET << (64 * m // (threshold + m)) and comb(threshold + m + 1, m + 1) <= _MOST_KEYS:
+        m += 1
+    return m
+
+
 def block_keys(h: Column, threshold: int, agree: int = 2, level: int = 0) -> Column:
     """Array of the keys of a hash: each tells the choice of blocks and the bits there."""
     choice = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks(threshold, agree, level))])
@@ -44,7 +58,7 @@ def block_keys(h: Column, threshold: int, agree: int = 2, level: int = 0) -> Col
 
 def _verified(keyed: DataFrame, threshold: int) -> DataFrame:
     a, b = keyed.select("key", F.col("h").alias("a")), keyed.select("key", F.col("h").alias("b"))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)).select("a", "b").distinct()
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)).select("a", "b")
 
 
 def hamming_pairs(hashes: DataFrame, threshold: int, cap: int = 2000, scratch: Scratch | None = None) -> DataFrame:
@@ -56,25 +70,23 @@ def hamming_pairs(hashes: DataFrame, threshold: int, cap: int = 2000, scratch: S
     if threshold < 0:
         return spark.createDataFrame([], "a long, b long")
     scratch = scratch or Scratch(spark, "hamming")
-    values = hashes.select("h").where("h IS NOT NULL").distinct()
-    if threshold + 2 > 12:  # blocks too narrow to select anything: compare in blocks
+    values = scratch.save(hashes.select("h").where("h IS NOT NULL").distinct(), "hashes")
+    if threshold > 10:  # blocks too narrow to select anything: compare in blocks
         return blocked_pairs(values, threshold)
-    keyed = values.select("h", F.explode(block_keys(F.col("h"), threshold)).alias("key"))
-    found = []
+    agree = agreeing(threshold, values.count())
+    keyed = values.select("h", F.explode(block_keys(F.col("h"), threshold, agree)).alias("key"))
+    found = None
     for level in range(1, _LEVELS + 1):
-        sized = keyed.withColumn("n", F.expr("count(*) OVER (PARTITION BY key)")).where("n > 1")
-        kept = scratch.save(sized, f"keys{level}")
-        found.append(_verified(kept.where(F.col("n") <= cap), threshold))
-        hot = kept.where(F.col("n") > cap)
-        if level == _LEVELS:
-            found.append(_verified(hot, threshold))
-        elif hot.isEmpty():
+        # sizes by partial counts; only the keys of full buckets are kept, at most rows / cap of them
+        hot = scratch.save(keyed.groupBy("key").count().where(F.col("count") > cap).select("key"), f"hot{level}") if level < _LEVELS else None
+        last = hot is None or hot.isEmpty()
+        pairs = _verified(keyed if last else keyed.join(hot, "key", "left_anti"), threshold)
+        found = pairs if found is None else found.union(pairs)
+        if last:
             break
-        keyed = hot.select("h", F.explode(F.transform(block_keys(F.col("h"), threshold, level=level), lambda k: F.xxhash64("key", k))).alias("key"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct() if len(found) > 1 else out
+        deeper = F.explode(F.transform(block_keys(F.col("h"), threshold, agree, level), lambda k: F.xxhash64("key", k))).alias("key")
+        keyed = scratch.save(keyed.join(hot, "key", "left_semi").select("h", deeper), f"keys{level}")
+    return found.distinct()
 
 
 def blocked_pairs(values: DataFrame, threshold: int, rows_per_block: int = 20_000) -> DataFrame:
