@@ -1,27 +1,31 @@
 """Grouping records into similarity clusters (problem 6): average linkage by reciprocal nearest neighbours.
 
 The similarity of two clusters is the mean cosine of their pairs, which is the inner product of their mean vectors; so a
-cluster is its mean vector, its size and its smallest id, however large it is. Mutual best pairs at the threshold or above are
-merged in parallel, means and similarities are renewed, and so on until no pair is left.
+cluster is its mean vector, its size and its smallest id, however large it is. Each round gives every cluster its best partner
+at the threshold or above (the sparse graph), merges all pairs that are each other's best, wherever they lie, and renews means
+and similarities. As average linkage never raises the similarity of a merged cluster above that of its better part, merging
+mutual best pairs in any order gives the tree of merging the best pair of all first; and a cluster's best partner stays until
+it is itself merged. So only clusters that merged, or lost their partner by a merge, look for a new one.
 
-Best is meant locally: within a piece of an input batch, then within a cell or block of a round; only the exact pass at the end
-sees all. Where clusters are clean (the threshold or more within, less between) the result is that of merging the best pair of
-all first. Where similarities are graded it can be another one, that depends on files and batches; no pair of clusters at the
-threshold is left in either case.
+Only clusters joined by a chain of pairs at the threshold can ever merge, so each connected part of that graph is a problem of
+its own. The parts are found first: every cell (below) joins what it holds and tells one representative a vector, never its
+pairs, and the grid of problem 2 joins the representatives. Parts of up to ``ONE_TASK`` vectors are linked to the end in one
+task each; larger ones go on in rounds over the whole table.
 
-The graph is built cell by cell. In each round some current clusters, drawn afresh, become anchors; every cluster goes to its
-nearest anchor, and each cell is merged to the end. Two clusters that a round's anchors part meet in another round; the
-rounds end when ``QUIET`` in a row merged nothing. Every cluster is in one cell a round, so a round is one shuffle of the
-clusters that are left, and there are no links to be resolved. Batches of the input are merged before the first shuffle, so a
-cluster with a third of all rows arrives as a few means per batch. A cell that holds too many clusters is cut into blocks by a
-hash that differs from round to round.
+Cells. Some vectors, drawn afresh each round by a hash of their id, are the centres of cells of about ``ROWS_PER_CELL``; a
+vector is a row of its nearest centre's cell and also asks in the cells whose centre scores within a margin (``Z`` standard
+deviations of what a neighbour at ``PROBE`` can differ). Pairs count for both ends. Centres follow the density, so a cluster
+with a third of all rows is many cells; what is still overfull is cut in blocks that a query visits one by one. With one cell
+the search is exact; with more, a pair can be missed.
 
-The rounds do not show that no pair is left, so an exact pass ends them: every mean left is compared with every other, block
-by block against a broadcast, and mutual best pairs are merged until there is no pair. After the first comparison only merged
-clusters are compared again. Its cost is the square of the clusters left; it is skipped if the last round was one cell.
+So in the end an exact pass compares all clusters left with all, block by block against a broadcast, and rounds go on until no
+pair at the threshold is left, however many it takes. It costs the square of the clusters left. Files, batches and partitions
+do not change the result.
+
+Copies of one vector are one cluster from the start, by partial aggregates, and never meet in a task.
 
 Defined cases: vectors that are null, of another length, all zero or hold NaN, null or an infinity are in no cluster; equal
-similarities are merged in an order fixed by a hash; copies fall into one cluster; no usable vectors give no rows.
+similarities (to nine digits) are ordered by a hash of the pair; no usable vectors give no rows.
 """
 
 from __future__ import annotations
@@ -32,206 +36,318 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from heronry.llm.neighbours import DIM, faces, nearest
-from heronry.llm.vectors import lists, lists_where, matrix, unit
+from heronry.llm.consolidate import grid_components
+from heronry.llm.neighbours import DIM, faces
+from heronry.llm.vectors import Cells, hook, lists, lists_where, matrix, unit
 from heronry.session import Scratch
 
 THRESHOLD = 0.7
-ROWS_PER_CELL = 2000
-MOST_CELLS = 4096
-MOST_IN_BLOCK = 4000
-QUIET = 2
-MOST_ROUNDS = 24
+ROWS_PER_CELL = 4000
+ONE_TASK = 4000
+ROWS_PER_GROUP = 16_384
 ROWS_PER_BROADCAST = 16_384
+Z, PROBE = 1.25, 0.8
+LITTLE = 0.01  # of the clusters: rounds that merge fewer leave the rest to the exact pass
 
 
 def linkage(means: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge mutual best pairs until no similarity reaches the threshold: (cluster of each row, means, sizes).
 
-    A cluster without a similarity at the threshold stays out for good: those to merged clusters are means of lower ones."""
+    Similarities to a merged cluster are the weighted means of those to its parts. A cluster without a similarity at the
+    threshold stays out for good. Rows of which all pairs reach it become one cluster in any order, at once."""
     n = len(means)
-    means, sizes, owner = means.astype(np.float32).copy(), sizes.astype(np.float64).copy(), np.arange(n)
+    means, sizes, owner = means.astype(np.float64), sizes.astype(np.float64).copy(), np.arange(n)
+    s = (means @ means.T).astype(np.float32)
+    if n > 1 and s.min() >= threshold + 1e-5:
+        means[0] = np.average(means, axis=0, weights=sizes)
+        sizes[0] = sizes.sum()
+        return np.zeros(n, np.int64), means.astype(np.float32), sizes
+    # near ties: every row prefers by one symmetric order, else copies would merge one pair a round
+    h = (np.arange(n) * 2654435761 % 4294967296).astype(np.uint32)
+    for i in range(0, n, 256):
+        s[i:i + 256] += (((h[i:i + 256, None] ^ h[None, :]) * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.float32) * np.float32(2e-6 / (1 << 20))
+    np.fill_diagonal(s, -2)
     live = np.arange(n)
     while len(live) > 1:
-        s = means[live] @ means[live].T
-        np.fill_diagonal(s, -2)
-        top = s.max(1)
-        on = top >= threshold
-        if not on.any():
-            break
-        if not on.all():
-            live, s = live[on], s[np.ix_(on, on)]
-        # near ties: every row prefers by one symmetric order, else copies would merge one pair a round
-        h = (live * 2654435761 % 4294967296).astype(np.uint32)
-        for i in range(0, len(live), 256):  # by rows: the order of all pairs at once would outweigh the similarities
-            s[i:i + 256] += (((h[i:i + 256, None] ^ h[None, :]) * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.float32) * np.float32(2e-6 / (1 << 20))
         best = s.argmax(1)
         a = np.arange(len(live))
-        mutual = (best[best] == a) & (a < best)
-        i, j = live[a[mutual]], live[best[mutual]]
+        on = s[a, best] >= threshold
+        mutual = on & (best[best] == a) & (a < best)
+        i, j = a[mutual], best[mutual]
         if not len(i):
             break
-        total = sizes[i] + sizes[j]
-        means[i] = (means[i] * (sizes[i] / total)[:, None] + means[j] * (sizes[j] / total)[:, None]).astype(np.float32)
-        sizes[i] = total
-        owner[j] = i
-        live = np.setdiff1d(live, j, assume_unique=True)
+        p, q = live[i], live[j]
+        total = sizes[p] + sizes[q]
+        u, v = (sizes[p] / total), (sizes[q] / total)
+        s[i] = s[i] * u[:, None].astype(np.float32) + s[j] * v[:, None].astype(np.float32)
+        s[:, i] = s[:, i] * u.astype(np.float32) + s[:, j] * v.astype(np.float32)
+        s[i, i] = -2
+        means[p] = means[p] * u[:, None] + means[q] * v[:, None]
+        sizes[p], owner[q] = total, p
+        on[i] = True
+        on[j] = False
+        keep = np.nonzero(on)[0]
+        live, s = live[keep], s[np.ix_(keep, keep)]
     while True:
         up = owner[owner]
         if (up == owner).all():
-            return owner, means, sizes
+            return owner, means.astype(np.float32), sizes
         owner = up
 
 
-def _merged(ids: np.ndarray, sizes: np.ndarray, means: np.ndarray, threshold: float) -> list[pa.Array]:
-    """Columns id, rep, n, v: v and n only in the row of a cluster's smallest id."""
-    order = np.argsort(ids, kind="stable")
-    ids, sizes, means = ids[order], sizes[order], means[order]
-    owner, m, n = linkage(means, sizes, threshold)
-    first = np.full(len(ids), len(ids))
-    np.minimum.at(first, owner, np.arange(len(ids)))
-    rep = first[owner]
-    head = rep == np.arange(len(ids))
-    return [pa.array(ids), pa.array(ids[rep]), pa.array(np.where(head, n[owner], 0).astype(np.int64)), lists_where(m[owner], head)]
-
-
-_NAMES = ["id", "rep", "n", "v"]
-_SCHEMA = "id long, rep long, n long, v array<float>"
-
-
-def _in_batches(threshold: float, dim: int, block: int = 1500):
-    def run(batches):
+_NODE = "id long, n long, v array<float>"
+_LINK = "id long, other long, s double"
+
+
+def _best(x_id: np.ndarray, x: np.ndarray, q_id: np.ndarray, q: np.ndarray, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, s): for each query its best row, and for each row its best query, at the threshold or above."""
+    links, row_s, row_q = [], np.full(len(x), -np.inf, np.float32), np.zeros(len(x), np.int64)
+    for i in range(0, len(q), step):
+        s = q[i:i + step] @ x.T
+        s[q_id[i:i + step, None] == x_id[None, :]] = -np.inf
+        at = s.argmax(1)
+        links.append((np.arange(i, i + len(at)), at, s[np.arange(len(at)), at]))
+        top = s.max(0)
+        up = np.nonzero((top >= threshold - 1e-5) & (top > row_s))[0]
+        row_s[up], row_q[up] = top[up], s[:, up].argmax(0) + i
+    links.append((row_q, np.arange(len(x)), row_s))
+    a, b, rough = (np.concatenate(y) for y in zip(*links))
+    on = rough >= threshold - 1e-5  # single precision first
+    a, b = np.divmod(np.unique(a[on] * len(x) + b[on]), len(x))
+    s = np.concatenate([np.einsum("nd,nd->n", q[a[j:j + 20_000]].astype(np.float64), x[b[j:j + 20_000]].astype(np.float64)) for j in range(0, len(a), 20_000)] or [np.empty(0)]).round(9)
+    on = s >= threshold
+    return q_id[a[on]], x_id[b[on]], s[on]
+
+
+def _joined(x_id: np.ndarray, x: np.ndarray, q_id: np.ndarray, q: np.ndarray, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(id, rep): the smallest id that queries and rows reach over pairs of a query and a row at the threshold, where it is another."""
+    names, at = np.unique(np.concatenate([x_id, q_id]), return_inverse=True)
+    x_at, q_at = at[:len(x_id)], at[len(x_id):]
+    parent = np.arange(len(names))
+    for i in range(0, len(q), step):
+        a, b = np.divmod(np.flatnonzero((q[i:i + step] @ x.T).ravel() >= threshold - 1e-6), len(x))
+        hook(parent, q_at[a + i], x_at[b])
+    other = parent != np.arange(len(names))
+    return names[other], names[parent[other]]
+
+
+def _links(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(y) for y in found], names=["id", "other", "s"])
+
+
+def probed(nodes: DataFrame, left: int, r: int, threshold: float, dim: int, joined: bool = False) -> tuple[DataFrame, bool]:
+    """(links (id, other, s), whether none can be missed) of nodes (id, n, v, asks): for each the best partner that a search by
+    cells finds; ``joined``: links (a, b) that connect what is at the threshold."""
+    k = max(1, left // ROWS_PER_CELL)
+    drawn = min(left, 2 * k + 4096)  # centres, and some more to tell how full their cells will be
+    order = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(1 << 30))
+    some = nodes.where(order < int((1 << 30) * min(1.0, 1.2 * drawn / left + 0.001))).orderBy(order, "id").limit(drawn).select("v").toArrow()
+    x = unit(matrix(some.column(0), dim))
+    cells = Cells(x[:k])
+    k = len(cells.centres)
+    share = np.bincount(cells.near(x)[0], minlength=k) / len(x)
+    blocks = np.maximum(1, np.ceil(share * left / (2 * ROWS_PER_CELL))).astype(np.int64)
+    spread = Z * np.sqrt(2 - 2 * PROBE) / np.sqrt(dim)
+    sent = nodes.sparkSession.sparkContext.broadcast((cells, blocks))
+
+    def place(batches):
+        c, parts = sent.value
         for b in batches:
-            ids = b.column(0).to_numpy()
-            if not len(ids):
+            if not b.num_rows:
                 continue
-            x = unit(matrix(b.column(1), dim))
-            k = max(1, len(ids) // (block // 3))
-            own = nearest(x, x[np.random.default_rng(len(ids)).choice(len(ids), k, replace=False)])
-            for c in range(k):
-                m = np.nonzero(own == c)[0]
-                for i in range(0, len(m), block):
-                    p = m[i:i + block]
-                    yield pa.RecordBatch.from_arrays(_merged(ids[p], np.ones(len(p)), x[p], threshold), names=_NAMES)
-    return run
-
-
-def pairs(heads: DataFrame, threshold: float, dim: int, scratch: Scratch) -> list[DataFrame]:
-    """Tables (a, b, s), a < b: all pairs of heads (id, n, v, fresh) with inner product s at the threshold, one of them fresh."""
-    spark = heads.sparkSession
-    k = -(-heads.where("fresh").count() // ROWS_PER_BROADCAST)
-    placed = heads.select("id", F.when(F.col("fresh"), F.pmod(F.xxhash64("id"), F.lit(max(1, k)))).otherwise(-1).cast("int").alias("part"), "v")
-    out = []
-    for part in range(k):
-        some = placed.where(F.col("part") == part).select("id", "v").toArrow()
+            ids, v, asks = b.column(0).to_numpy(), matrix(b.column(1), dim), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            home, rows, near = c.near(unit(v), spread)
+            with np.errstate(over="ignore"):
+                h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+            block = (h % parts[home].astype(np.uint64)).astype(np.int64)
+            # a row stays in its cell and block; a query goes to all blocks of its cells
+            q = np.concatenate([np.nonzero(asks)[0], rows[asks[rows]]])
+            to = np.concatenate([home[asks], near[asks[rows]]])
+            n = parts[to]
+            q, to = np.repeat(q, n), np.repeat(to, n)
+            at = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+            own = (to == home[q]) & (at == block[q])
+            row = np.concatenate([np.arange(len(ids)), q[~own]])
+            cell, part = np.concatenate([home, to[~own]]), np.concatenate([block, at[~own]])
+            role = np.concatenate([np.where(asks, 3, 1), np.full((~own).sum(), 2)]).astype(np.int8)
+            for i in range(0, len(row), 10_000):
+                p = slice(i, i + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[p].astype(np.int32)), pa.array(part[p].astype(np.int32)), pa.array(ids[row[p]]), pa.array(role[p]), lists(v[row[p]])],
+                                                 names=["cell", "part", "id", "role", "v"])
+
+    def in_cell(t: pa.Table) -> pa.Table:
+        ids, role, v = t.column("id").to_numpy(), t.column("role").to_numpy(), matrix(t.column("v"), dim)
+        order = np.argsort(ids, kind="stable")
+        ids, role, v = ids[order], role[order], v[order]
+        x, q = role & 1 > 0, role & 2 > 0
+        if joined:
+            return pa.table(dict(zip("ab", _joined(ids[x], v[x], ids[q], v[q], threshold))))
+        return pa.Table.from_batches([_links(_best(ids[x], v[x], ids[q], v[q], threshold) if x.any() and q.any() else (ids[:0], ids[:0], np.empty(0)))])
+
+    placed = nodes.select("id", "v", "asks").mapInArrow(place, "cell int, part int, id long, role tinyint, v array<float>")
+    return placed.groupBy("cell", "part").applyInArrow(in_cell, "a long, b long" if joined else _LINK), k == 1 and blocks[0] == 1
+
+
+def compared(nodes: DataFrame, threshold: float, dim: int, scratch: Scratch) -> DataFrame:
+    """links (id, other, s): of each node of nodes (id, n, v, asks) that asks the best of all, and for each node its best that asks."""
+    spark = nodes.sparkSession
+    parts = -(-nodes.where("asks").count() // ROWS_PER_BROADCAST)
+    out = spark.createDataFrame([], _LINK)
+    for part in range(parts):
+        some = nodes.where("asks").where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select("id", "v").toArrow()
         sent = spark.sparkContext.broadcast((some.column(0).to_numpy(), matrix(some.column(1), dim)))
 
-        def compare(batches, sent=sent, part=part):
-            other, x = sent.value
+        def compare(batches, sent=sent):
+            q_id, q = sent.value
             for b in batches:
-                ids, of, v = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), dim)
-                for i in range(0, len(ids), 256):
-                    r, c = np.nonzero(v[i:i + 256] @ x.T >= threshold - 1e-5)  # single precision first
-                    r += i
-                    once = (of[r] != part) | (ids[r] < other[c])
-                    r, c = r[once], c[once]
-                    for j in range(0, len(r), 20_000):
-                        p, q = r[j:j + 20_000], c[j:j + 20_000]
-                        s = np.einsum("nd,nd->n", v[p].astype(np.float64), x[q].astype(np.float64))
-                        p, q, s = (y[s >= threshold] for y in (p, q, s))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], other[q])), pa.array(np.maximum(ids[p], other[q])), pa.array(s)], names=["a", "b", "s"])
-
-        out.append(scratch.save(placed.where((F.col("part") < 0) | (F.col("part") >= part)).mapInArrow(compare, "a long, b long, s double"), "pairs"))
+                if b.num_rows and len(q_id):
+                    yield _links(_best(b.column(0).to_numpy(), matrix(b.column(1), dim), q_id, q, threshold))
+
+        # of a task's batches only the best link of each end goes on
+        links = nodes.select("id", "v").mapInArrow(compare, _LINK)
+        out = out.union(scratch.save(best_links(links), "compared").select("id", "other", "b.s"))
         sent.destroy()
     return out
 
 
-def finish(heads: DataFrame, threshold: float, dim: int, scratch: Scratch) -> tuple[DataFrame | None, DataFrame]:
-    """Merge mutual best pairs of heads (id, n, v) until no pair is at the threshold: (moves (rep, to), if any, heads)."""
-    heads = heads.withColumn("fresh", F.lit(True))
-    moves, links = None, None
-    while True:
-        for p in pairs(heads, threshold, dim, scratch):
-            links = p if links is None else links.union(p)
-        links = None if links is None else scratch.save(links, "links")
-        if links is None or links.isEmpty():
-            return moves, heads.select("id", "n", "v")
-        both = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "s", F.xxhash64("a", "b").alias("h"))
-        both = both.union(both.select("other", "id", "s", "h"))
-        best = both.groupBy("id").agg(F.max(F.struct("s", "h", "other"))["other"].alias("other"))  # h: one order of equal pairs for both ends
-        step = best.join(best.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).where("id < other")
-        step = scratch.save(step.select(F.col("other").alias("rep"), F.col("id").alias("to")), "step")
-        if step.isEmpty():
-            raise RuntimeError("pairs are left but none is mutual")
-        touched = step.select(F.col("rep").alias("id")).union(step.select("to"))
-        side = lambda key, at: heads.select(F.col("id").alias(key), F.col("n").alias(f"n{at}"), F.col("v").alias(f"v{at}"))
-        mean = F.zip_with("v1", "v2", lambda p, q: ((p.cast("double") * F.col("n1") + q.cast("double") * F.col("n2")) / (F.col("n1") + F.col("n2"))).cast("float"))
-        merged = step.join(side("to", 1), "to").join(side("rep", 2), "rep").select(F.col("to").alias("id"), (F.col("n1") + F.col("n2")).alias("n"), mean.alias("v"), F.lit(True).alias("fresh"))
-        heads = scratch.save(heads.join(touched, "id", "left_anti").select("id", "n", "v", F.lit(False).alias("fresh")).union(merged), "heads")
-        for end in ("a", "b"):
-            links = links.join(touched.select(F.col("id").alias(end)), end, "left_anti").select("a", "b", "s")
-        if moves is not None:
-            then = moves.join(step.select(F.col("rep").alias("to"), F.col("to").alias("next")), "to", "left")
-            step = scratch.save(then.select("rep", F.coalesce("next", "to").alias("to")).union(step), "moves")
-        moves = step
-
-
-def cluster(vectors: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, rows_per_cell: int = ROWS_PER_CELL, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def best_links(links: DataFrame) -> DataFrame:
+    """(id, other, b (s, h, other)): of links (id, other, s), taken both ways, the best of each end."""
+    both = links.select("id", "other", "s").union(links.select("other", "id", "s"))
+    b = F.struct("s", F.xxhash64(F.least("id", "other"), F.greatest("id", "other")).alias("h"), "other")
+    return both.groupBy("id").agg(F.max(b).alias("b")).select("id", "b.other", "b")
+
+
+def _linked(ids: np.ndarray, n: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(id, rep, n, v, whether it is a head) after linkage() of rows in the order of their ids."""
+    owner, mean, size = linkage(v, n, threshold)
+    first = np.full(len(ids), len(ids))
+    np.minimum.at(first, owner, np.arange(len(ids)))
+    rep = first[owner]
+    return ids, ids[rep], size[owner], mean[owner], rep == np.arange(len(ids))
+
+
+def in_parts(nodes: DataFrame, groups: int, threshold: float, dim: int) -> DataFrame:
+    """(id, rep, n, v) of nodes (part, id, n, v), each part linked to its end in one task; n and v only in the row of a head."""
+
+    def run(t: pa.Table) -> pa.Table:
+        part, ids, n, v = t.column("part").to_numpy(), t.column("id").to_numpy(), t.column("n").to_numpy(), matrix(t.column("v"), dim)
+        order = np.lexsort((ids, part))
+        part, ids, n, v = part[order], ids[order], n[order], v[order]
+        cut = np.nonzero(np.diff(part))[0] + 1
+        out = [_linked(ids[a:b], n[a:b], v[a:b], threshold) for a, b in zip([0, *cut], [*cut, len(ids)])]
+        i, rep, size, mean, head = (np.concatenate(y) for y in zip(*out))
+        return pa.table({"id": i, "rep": rep, "n": np.where(head, size, 0).astype(np.int64), "v": lists_where(mean, head)})
+
+    return nodes.groupBy(F.pmod(F.xxhash64("part"), F.lit(groups)).alias("group")).applyInArrow(run, "id long, rep long, n long, v array<float>")
+
+
+def _merge(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """nodes (id, n, v) after moves (id, to), where no node that is moved to moves itself: sizes added up, means weighted."""
+    ends = moves.select("id", F.col("to").alias("rep")).union(moves.select(F.col("to").alias("id"), F.col("to").alias("rep")).distinct())
+    j = nodes.select("id", "n", "v").join(ends, "id", "left")
+    total = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    zero = F.array_repeat(F.lit(0.0), F.size(F.element_at("m", 1)["v"]))
+    mean = F.transform(F.aggregate("m", zero, lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q.cast("double") * x["n"])), lambda s: (s / F.col("total")).cast("float"))
+    touched = j.where("rep IS NOT NULL").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("id", "n", "v"))).alias("m")).withColumn("total", total)
+    return (j.where("rep IS NULL").select("id", "n", "v", F.lit(False).alias("fresh"))
+            .union(touched.select(F.col("rep").alias("id"), F.col("total").alias("n"), mean.alias("v"), F.lit(True).alias("fresh"))))
+
+
+def rounds(nodes: DataFrame, left: int, threshold: float, dim: int, scratch: Scratch, sure: bool, exact: bool = True) -> tuple[list[DataFrame], DataFrame]:
+    """(moves (id, to), heads (id, n, v)) of nodes (id, n, v): mutual best pairs merged until none is left. ``sure``: all are
+    compared with all from the start, else once a round by cells merges little."""
+    moves, done, known, r = [], None, None, 0
+    now = scratch.save(nodes.select("id", "n", "v", F.lit(True).alias("asks")), "nodes")
+    while left > 1:
+        if sure:
+            links, whole = compared(now, threshold, dim, scratch), True
+        else:
+            links, whole = probed(now, left, r, threshold, dim)
+        found = best_links(links)
+        if known is not None:  # a partner stays the best until one of the two is merged
+            found = found.union(known).groupBy("id").agg(F.max("b").alias("b")).select("id", "b.other", "b")
+        found = scratch.save(found, "best")
+        pair = found.groupBy(F.least("id", "other").alias("to"), F.greatest("id", "other").alias("id")).count()
+        step = scratch.save(pair.where("count = 2").select("id", "to"), "step")
+        merged = step.count()
+        if not merged and (whole or not exact):
+            break
+        moves.append(step)
+        touched = step.select("id").union(step.select(F.col("to").alias("id")))
+        known = scratch.save(found.join(touched, "id", "left_anti").join(touched.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other", "b"), "known")
+        after = _merge(now, step)
+        held = found.select("id").join(known.select("id", F.lit(True).alias("knows")), "id", "left").select("id", F.coalesce("knows", F.lit(False)).alias("knows"))
+        after = after.join(held, "id", "left")
+        if whole:  # all have asked all: who has no partner now never gets one
+            finished = scratch.save(after.where("knows IS NULL AND NOT fresh").select("id", "n", "v"), "done")
+            done = finished if done is None else done.union(finished)
+            after = after.where("knows IS NOT NULL OR fresh")
+        sure = sure or whole or (exact and merged < LITTLE * left)
+        if sure and not whole:  # the exact pass begins, so all ask
+            known, asks = None, F.lit(True)
+        else:
+            asks = F.col("fresh") | ~F.coalesce("knows", F.lit(True))
+        before, now = now, scratch.save(after.select("id", "n", "v", asks.alias("asks")), "nodes")
+        scratch.drop(before)
+        left, r = now.count(), r + 1
+        if whole and 1 < left <= ONE_TASK:
+            last = scratch.save(in_parts(now.withColumn("part", F.lit(0).cast("long")), 1, threshold, dim), "linked")
+            moves.append(last.where("id <> rep").select("id", F.col("rep").alias("to")))
+            now = last.where("v IS NOT NULL")
+            break
+    heads = now.select("id", "n", "v")
+    return moves, heads if done is None else heads.union(done)
+
+
+def cluster(vectors: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, scratch: Scratch | None = None, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """Vectors (id long, v array<float>, all usable) to members (id, rep) and clusters (rep, n, v): rep is the smallest id of
-    the cluster, n its size, v the mean of its unit vectors."""
+    the cluster, n its size, v the mean of its unit vectors. Without ``exact`` the exact pass is left out: nothing then costs a
+    square, and clusters that no search brought together stay apart."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "clusters")
-    now = scratch.save(vectors.mapInArrow(_in_batches(threshold, dim), _SCHEMA), "merged")
-    members = now.select("id", "rep")
-    quiet, whole, left = 0, False, now.where("v IS NOT NULL").count()
-    for r in range(MOST_ROUNDS):
-        if quiet >= QUIET or left <= 1:
+
+    def units(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(unit(matrix(b.column(1), dim)))], names=["id", "v"])
+
+    keyed = scratch.save(vectors.select("id", "v").mapInArrow(units, "id long, v array<float>").withColumn("a", F.xxhash64("v")).withColumn("b", F.hash("v")), "units")
+    same = scratch.save(keyed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+    alone = keyed.select("id", "v", "a", "b").join(same, ["a", "b"], "left").where("rep IS NULL OR rep = id")
+    nodes = scratch.save(alone.select("id", F.coalesce("n", F.lit(1)).cast("long").alias("n"), "v"), "nodes")
+    moves = [keyed.select("id", "a", "b").join(same, ["a", "b"]).where("rep <> id").select("id", F.col("rep").alias("to"))]
+    left = nodes.count()
+    if left:
+        links, _ = probed(nodes.withColumn("asks", F.lit(True)), left, 0, threshold, dim, joined=True)
+        parts = scratch.save(grid_components(links, scratch=scratch).select(F.col("vertex").alias("id"), F.col("component").alias("part")), "parts")
+        sizes = scratch.save(parts.groupBy("part").agg(F.count("*").alias("size")), "sizes")
+        large, inside = sizes.agg(F.sum(F.when(F.col("size") > ONE_TASK, F.col("size"))), F.sum(F.when(F.col("size") <= ONE_TASK, F.col("size")))).first()
+        placed = nodes.join(parts.join(sizes, "part"), "id", "left")
+        heads = placed.where("part IS NULL").select("id", "n", "v")
+        if inside:
+            small = scratch.save(in_parts(placed.where(F.col("size") <= ONE_TASK).select("part", "id", "n", "v"), -(-inside // ROWS_PER_GROUP), threshold, dim), "linked")
+            moves.append(small.where("id <> rep").select("id", F.col("rep").alias("to")))
+            heads = heads.union(small.where("v IS NOT NULL").select("id", "n", "v"))
+        if large:
+            far, rest = rounds(placed.where(F.col("size") > ONE_TASK), large, threshold, dim, scratch, False, exact)
+            moves += far
+            heads = heads.union(rest)
+        if exact:
+            heads = scratch.save(heads, "heads")
+            far, heads = rounds(heads, heads.count(), threshold, dim, scratch, True)
+            moves += far
+    else:
+        heads = nodes
+    parent = moves[0]
+    for m in moves[1:]:
+        parent = parent.union(m)
+    parent = scratch.save(parent, "parents")  # every id moves once at most
+    while True:
+        up = parent.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        parent = scratch.save(parent.select("id", "to").join(up, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "parents")
+        if parent.where("moved").isEmpty():
             break
-        heads = now.where("v IS NOT NULL").select("id", "n", "v")
-        k = max(1, min(MOST_CELLS, left // rows_per_cell))
-        drawn = min(left, 2 * k + 4096)  # anchors, and a few more to tell how full their cells will be
-        order = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(1 << 30))
-        some = heads.where(order < int((1 << 30) * min(1.0, 1.2 * drawn / left + 0.001))).orderBy(order, "id").limit(drawn).select("v").toArrow()
-        x = unit(matrix(some.column(0), dim))
-        anchors = x[:k]
-        share = np.bincount(nearest(x, anchors), minlength=len(anchors)) / len(x)
-        blocks = np.maximum(1, np.ceil(share * left / (2 * rows_per_cell))).astype(np.int64)
-        whole = len(anchors) == 1 and blocks[0] == 1 and left <= MOST_IN_BLOCK
-        sent = spark.sparkContext.broadcast((anchors, blocks))
-
-        def to_cell(batches, sent=sent, r=r):
-            a, parts = sent.value
-            for b in batches:
-                if b.num_rows:
-                    ids = b.column(0).to_numpy()
-                    cell = nearest(unit(matrix(b.column(2), dim)), a)
-                    with np.errstate(over="ignore"):
-                        h = (ids.astype(np.uint64) + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-                    block = h % parts[cell].astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), *b.columns], names=["cell", "block", "id", "n", "v"])
-
-        def in_cell(t: pa.Table) -> pa.Table:
-            ids, n, v = t.column("id").to_numpy(), t.column("n").to_numpy(), matrix(t.column("v"), dim)
-            order = np.argsort(ids)  # the pieces of an overfull block do not depend on how it arrived
-            pieces = [order[i:i + MOST_IN_BLOCK] for i in range(0, len(order), MOST_IN_BLOCK)]
-            return pa.concat_tables(pa.Table.from_arrays(_merged(ids[p], n[p], v[p], threshold), names=_NAMES) for p in pieces)
-
-        placed = heads.mapInArrow(to_cell, "cell int, block int, id long, n long, v array<float>")
-        after = scratch.save(placed.groupBy("cell", "block").applyInArrow(in_cell, _SCHEMA), "merged")
-        fewer = after.where("v IS NOT NULL").count()
-        if fewer < left:
-            moves = scratch.save(after.where("id <> rep").select(F.col("id").alias("rep"), F.col("rep").alias("to")), "moves")
-            members = members.join(moves, "rep", "left").select("id", F.coalesce("to", "rep").alias("rep"))
-        quiet = quiet + 1 if fewer == left else 0
-        if r:
-            scratch.drop(now)
-        now, left = after, fewer
-    heads = now.where("v IS NOT NULL").select("id", "n", "v")
-    if left > 1 and not whole:
-        moves, heads = finish(heads, threshold, dim, scratch)
-        if moves is not None:
-            members = members.join(moves, "rep", "left").select("id", F.coalesce("to", "rep").alias("rep"))
-    return members, heads.withColumnRenamed("id", "rep")
+    members = keyed.select("id").join(parent.select("id", "to"), "id", "left").select("id", F.coalesce("to", "id").alias("rep"))
+    return members, heads.select(F.col("id").alias("rep"), "n", "v")
 
 
 def p6_found(spark, folder: str) -> DataFrame:

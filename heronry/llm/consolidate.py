@@ -5,7 +5,9 @@ union-find over its edges and tells each of its vertices the smallest vertex it
 exchange these representatives: a vertex takes the smallest of all its cells, and what the other cells named becomes an edge
 between representatives. The rounds go on over these contracted edges until there are none, so parents are stable.
 
-A vertex with a third of all edges is spread over the B cells of its row and column; no cell gets a whole group.
+Which end of an edge names the row and which the column is told by a hash of the ends, so a vertex with a third of all edges
+has them in the 2 B - 1 cells of its row and column; and a cell with more than ``edges_per_cell`` edges is cut in pieces by a
+hash of the edge, each a union-find of its own. So no task gets a whole group.
 
 Defined cases: null ends are no match; a loop puts its vertex into a group of its own; repeated edges count once; no edges
 give no rows; extra columns are ignored.
@@ -16,11 +18,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.paths import path_key
+from heronry.llm.vectors import hook
 from heronry.operators.hamming import hamming_pairs
 from heronry.session import Scratch
 from heronry.sources.tables import files_by_path, scans_in_force
@@ -28,28 +31,15 @@ from heronry.sources.tables import files_by_path, scans_in_force
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(vertices, smallest vertex reached from each) of the edges a-b."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(names)))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)  # sorted: the smaller index is the smaller vertex
+    parent = np.arange(len(names))
+    hook(parent, at[:len(a)], at[len(a):])
+    return names, names[parent]
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    half = len(a)
-    for x, y in zip(at[:half].tolist(), at[half:].tolist()):
-        x, y = find(x), find(y)
-        if x < y:  # names are sorted, so the smaller index is the smaller vertex
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    return names, names[[find(i) for i in range(len(names))]]
-
-
-def _cell(edges: pd.DataFrame) -> pd.DataFrame:
-    v, r = local_roots(edges["a"].to_numpy(), edges["b"].to_numpy())
-    return pd.DataFrame({"v": v, "r": r})[v != r]
+def _cell(edges: pa.Table) -> pa.Table:
+    v, r = local_roots(edges.column("a").to_numpy(), edges.column("b").to_numpy())
+    return pa.table({"v": v[v != r], "r": r[v != r]})
 
 
 def grid_components(edges: DataFrame, edges_per_cell: int = 250_000, scratch: Scratch | None = None, max_rounds: int = 40) -> DataFrame:
@@ -62,9 +52,16 @@ def grid_components(edges: DataFrame, edges_per_cell: int = 250_000, scratch: Sc
         n = now.count()
         if n == 0:
             break
-        blocks = max(2, math.ceil(math.sqrt(n / edges_per_cell)))
+        blocks = max(1, math.ceil(math.sqrt(n / edges_per_cell)))
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-        cells = now.withColumn("x", block("a")).withColumn("y", block("b")).groupBy("x", "y").applyInPandas(lambda pdf: _cell(pdf), "v long, r long")
+        row = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+        placed = now.withColumn("x", F.when(row, block("a")).otherwise(block("b"))).withColumn("y", F.when(row, block("b")).otherwise(block("a")))
+        full = [(r["x"], r["y"], -(-r["count"] // edges_per_cell)) for r in placed.groupBy("x", "y").count().where(F.col("count") > edges_per_cell).collect()]  # blocks * blocks at most
+        piece = F.lit(0)
+        if full:
+            cut = F.create_map(*[F.lit(v) for x, y, k in full for v in (f"{x}.{y}", k)])
+            piece = F.pmod(F.xxhash64("a", "b", F.lit(1)), F.coalesce(F.try_element_at(cut, F.concat_ws(".", "x", "y")), F.lit(1)))
+        cells = placed.withColumn("piece", piece).groupBy("x", "y", "piece").applyInArrow(_cell, "v long, r long")
         told = scratch.save(cells, "told")
         if parents is not None:  # a vertex that got a parent before and is named again brings that parent along
             told = told.union(parents.join(told, parents["vertex"] == told["v"], "left_semi").select("vertex", "p"))

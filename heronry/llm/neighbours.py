@@ -1,6 +1,6 @@
 """Most similar vectors for every vector (problem 3): anisotropic quantisation, four-bit table scans, exact reranking.
 
-Index. Coarse centres and, per two dimensions of the residual, a codebook of sixteen words are fitted on a bounded sample
+Index. Coarse centres (in two levels) and, per two dimensions of the residual, a codebook of sixteen words are fitted on a bounded sample
 (``SAMPLE`` rows); every row is indexed. Words are fitted and chosen by the score-aware loss: an error parallel to the vector
 counts eta times one at right angles, as it is the parallel part that shifts high inner products. A row keeps 64 four-bit
 codes and a bound on its quantised score's error.
@@ -14,7 +14,7 @@ and the probing are the accepted loss of accuracy. Reranking computes cosines in
 
 Copies of one vector are one row in the scan, in each batch before the shuffle and in each cell after it. Of a group of more
 than k + 1 copies, the copies beyond that need no search: their k most similar are its k smallest ids, with cosine 1. They are
-found by a hash of the vector and never gathered. A cell whose share of the sample makes it too large is cut into blocks of
+found by a hash of the vector, of which every task keeps k + 1 ids, and never gathered. A cell whose share of the sample makes it too large is cut into blocks of
 rows by a hash of the vector, which its queries visit in turn.
 
 Defined cases: vectors that are null, of another length, all zero or hold NaN, null or an infinity are not searched nor
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from heronry.llm.vectors import lists, matrix, unit, usable
+from heronry.llm.vectors import Cells, lists, matrix, nearest, unit, usable
 from heronry.session import Scratch
 from heronry.sources.tables import table
 
 DIM = 128
 SAMPLE = 65_536
+FITTED = 8192
 ROWS_PER_CELL = 400
-MOST_CELLS = 4096
 ROWS_PER_BLOCK = 20_000
 QUERIES_PER_BROADCAST = 8192
 Z = 1.25
@@ -49,7 +49,7 @@ def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.nd
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), k, replace=False)].copy()
     for _ in range(rounds):
-        own = nearest(sample, c)
+        own = Cells(c).near(sample)[0]
         order = np.argsort(own, kind="stable")
         cells, first = np.unique(own[order], return_index=True)
         total = np.add.reduceat(sample[order].astype(np.float64), first, axis=0)
@@ -58,10 +58,6 @@ def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.nd
     return c
 
 
-def nearest(x: np.ndarray, c: np.ndarray, step: int = 4096) -> np.ndarray:
-    return np.concatenate([np.argmax(x[i:i + step] @ c.T, axis=1) for i in range(0, len(x), step)] or [np.empty(0, np.int64)])
-
-
 class Quantiser:
     """Codebooks of 16 words per ``sub`` dimensions, with the anisotropic loss |err|^2 + (eta - 1) (x . err)^2."""
 
@@ -122,27 +118,22 @@ class Quantiser:
 
 
 class Index:
-    """What every task needs: centres, distances between them, codebooks, blocks per cell. Its size is bounded by MOST_CELLS."""
+    """What every task needs: centres in two levels, codebooks, blocks per cell. There are rows / ``rows_per_cell`` centres, at
+    most one per row of the sample, and a row looks at about the square root of them."""
 
     def __init__(self, sample: np.ndarray, rows: int, rows_per_cell: int = ROWS_PER_CELL, rows_per_block: int = ROWS_PER_BLOCK):
-        k = max(1, min(MOST_CELLS, rows // rows_per_cell, len(sample)))
+        k = max(1, min(rows // rows_per_cell, len(sample)))
         self.centres = centres(sample, k)
-        own = nearest(sample, self.centres)
-        some = sample[:8192]
-        self.quantiser = Quantiser(some, some - self.centres[own[:8192]])
+        self.cells = Cells(self.centres)
+        own = self.cells.near(sample)[0]
+        some = sample[:FITTED]
+        self.quantiser = Quantiser(some, some - self.centres[own[:FITTED]])
         share = np.bincount(own, minlength=k) / max(1, len(sample))
         self.blocks = np.maximum(1, np.ceil(share * rows / rows_per_block)).astype(np.int64)
 
     def probes(self, x: np.ndarray, cosine: float, z: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(home cell of each row, rows, cells): the other cells where a neighbour at the cosine may be."""
-        c = self.centres
-        s = x @ c.T
-        home = s.argmax(1)
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
-        near = s[np.arange(len(x)), home][:, None] - s <= z * np.sqrt(2 - 2 * cosine) / np.sqrt(x.shape[1]) * apart
-        near[np.arange(len(x)), home] = False
-        rows, cells = np.nonzero(near)
-        return home, rows, cells
+        return self.cells.near(x, z * np.sqrt(2 - 2 * cosine) / np.sqrt(x.shape[1]))
 
 
 def _same(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,9 +246,9 @@ def build(vectors: DataFrame, dim: int = DIM, sample: int = SAMPLE) -> Index | N
     rows = vectors.count()
     if not rows:
         return None
-    wanted = min(sample, max(8192, 24 * rows // ROWS_PER_CELL))
+    wanted = min(max(sample, rows // ROWS_PER_CELL), max(FITTED, 24 * rows // ROWS_PER_CELL))
     share = min(1.0, wanted / rows)
-    some = vectors.where((F.xxhash64("id", F.lit(1)) % 1_000_000 + 1_000_000) % 1_000_000 < int(share * 1_000_000) + 1).select("v").toArrow()
+    some = vectors.where((F.xxhash64("id", F.lit(1)) % 1_000_000 + 1_000_000) % 1_000_000 < int(share * 1_000_000) + 1).orderBy("id").select("v").toArrow()
     return Index(unit(matrix(some.column(0), dim)), rows) if some.num_rows else Index(unit(matrix(vectors.limit(1).select("v").toArrow().column(0), dim)), rows)
 
 
@@ -286,7 +277,7 @@ def similar(vectors: DataFrame, k: int, least: float | None = None, queries: Dat
             m = rank <= k if everyone else np.ones(len(ids), bool)  # further copies are told by overflow()
             ids, raw, asks, kept = ids[m], raw[m], asks[m], kept[m]
             x = unit(raw)
-            home, rows, cells = index_probes(idx, x, at, z)
+            home, rows, cells = idx.probes(x, at, z)
             mix = (raw.view(np.uint32).astype(np.uint64) * (np.arange(dim, dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum(1) >> np.uint64(7)
             block = (mix % idx.blocks[home].astype(np.uint64)).astype(np.int32)
             # a row is kept in its cell and block; a query visits all blocks of its cells
@@ -379,17 +370,16 @@ def most_similar(vectors: DataFrame, k: int, queries: DataFrame, dim: int = DIM,
     return found.withColumn("_rank", best).where(F.col("_rank") <= k).drop("_rank")
 
 
-def index_probes(index: Index, x: np.ndarray, cosine: float, z: float, step: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [(i, *index.probes(x[i:i + step], cosine, z)) for i in range(0, len(x), step)]
-    return np.concatenate([h for _, h, _, _ in parts]), np.concatenate([r + i for i, _, r, _ in parts]), np.concatenate([c for _, _, _, c in parts])
-
-
 def overflow(vectors: DataFrame, k: int) -> DataFrame:
-    """(q, x, cosine): for each copy beyond the k + 1 smallest ids of one vector, the group's k smallest ids."""
+    """(q, x, cosine): for each copy beyond the k + 1 smallest ids of one vector, the group's k smallest ids.
+
+    Every task keeps the k + 1 smallest ids of a group before they are shuffled (a rank with a bound is a group limit), so no
+    group is gathered; the rows of a hot vector then stay on the side of the join that is split."""
     keyed = vectors.select("id", F.xxhash64("v").alias("a"), F.hash("v").alias("b"))
-    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy("id")))
-    heads = ranked.where(F.col("r") <= k).select("a", "b", F.col("id").alias("x"))
-    return ranked.where(F.col("r") > k + 1).join(heads, ["a", "b"]).select(F.col("id").alias("q"), "x", F.lit(1.0).alias("cosine"))
+    least = keyed.withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy("id"))).where(F.col("r") <= k + 1)
+    heads = least.groupBy("a", "b").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > k)
+    heads = heads.select("a", "b", F.element_at("ids", k + 1).alias("last"), F.slice("ids", 1, k).alias("first"))
+    return keyed.join(heads, ["a", "b"]).where(F.col("id") > F.col("last")).select(F.col("id").alias("q"), F.explode("first").alias("x"), F.lit(1.0).alias("cosine"))
 
 
 def faces(spark, folder: str) -> DataFrame:

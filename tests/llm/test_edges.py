@@ -199,18 +199,33 @@ def test_hot_cluster(spark, folder):
     assert [(r["cluster_face_id"], r["faces"], len(r["typical"])) for r in c] == [(1, 60, 3)]
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_parted_clusters(spark, monkeypatch, rounds):
-    """Batches, cells and blocks part clusters and the rounds stop too early: the exact pass puts all together again."""
+@pytest.mark.parametrize(("parts", "one_task"), [(1, 4000), (3, 60), (7, 60)])
+def test_global_linkage(spark, monkeypatch, parts, one_task):
+    """Overlapping data: equal to exact average linkage on any number of partitions, in tasks and in rounds over the table."""
+    rng = np.random.default_rng(62)
+    x = rng.normal(size=(20, 16))[rng.integers(0, 20, 240)] + rng.normal(size=(240, 16)) * 0.8
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    owner, _, n = clusters.linkage(x, np.ones(len(x)), 0.55)
+    first = np.full(len(x), len(x))
+    np.minimum.at(first, owner, np.arange(len(x)))
+    assert 20 < len(set(owner)) < 120
+    monkeypatch.setattr(clusters, "ONE_TASK", one_task)
+    df = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, v array<float>").repartition(parts)
+    members, found = clusters.cluster(df, 0.55, dim=16)
+    assert rows(members) == [(i, int(first[owner[i]])) for i in range(len(x))]
+    assert {r["rep"]: r["n"] for r in found.collect()} == {int(first[o]): int(n[o]) for o in set(owner)}
+
+
+def test_parted_clusters(spark, monkeypatch):
+    """Cells, blocks and tasks part clusters; the exact pass puts all together again."""
     rng = np.random.default_rng(61)
     group = np.arange(120) % 12
     v = rng.normal(size=(12, 128))[group] + rng.normal(size=(120, 128)) * 0.3
     v = np.concatenate([v, rng.normal(size=(60, 128))])
     df = spark.createDataFrame([(i + 1, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<float>").repartition(4)
-    monkeypatch.setattr(clusters, "MOST_ROUNDS", rounds)
-    monkeypatch.setattr(clusters, "MOST_IN_BLOCK", 5)
-    monkeypatch.setattr(clusters, "ROWS_PER_BROADCAST", 20, raising=False)
-    members, found = clusters.cluster(df, rows_per_cell=8)
+    for name, value in (("ROWS_PER_CELL", 8), ("ROWS_PER_BROADCAST", 50), ("ROWS_PER_GROUP", 20), ("Z", -9)):
+        monkeypatch.setattr(clusters, name, value)
+    members, found = clusters.cluster(df)
     assert rows(members) == [(i + 1, i % 12 + 1 if i < 120 else i + 1) for i in range(180)]
     got = {r["rep"]: r for r in found.collect()}
     assert {k: r["n"] for k, r in got.items()} == {i + 1: 10 if i < 12 else 1 for i in [*range(12), *range(120, 180)]}
@@ -218,6 +233,16 @@ def test_parted_clusters(spark, monkeypatch, rounds):
     assert all(np.allclose(got[g + 1]["v"], u[:120][group == g].mean(0), atol=1e-5) for g in range(12))
 
 
+def test_second_level_of_centres():
+    """Cells found over head centres: most rows get the same home as by looking at all centres."""
+    rng = np.random.default_rng(63)
+    x = neighbours.unit((rng.normal(size=(40, 32))[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 32)) * 0.4))
+    flat, deep = neighbours.Cells(x[:300]), neighbours.Cells(x[:300], flat=100)
+    assert deep.heads is not None and (flat.near(x)[0] == deep.near(x)[0]).mean() > 0.9
+    home, r, c = deep.near(x, 0.2)
+    assert len(r) and (home[r] != c).all()
+
+
 def test_crowded_cell_keeps_few(monkeypatch):
     """Of a tight group of different vectors, a cell holds a few pairs a query and a row, not the square, and loses none."""
     rng = np.random.default_rng(34)
