@@ -2,7 +2,8 @@
 
 Signed counts per target key are kept from change deltas: +1 / -1 for every reference that appears or goes, and for every
 record that appears or goes. A key with positive references and zero existence is an orphan; a late record simply adds its
-existence and the key leaves the report. History is never read again: a delta is merged into the counts.
+existence and the key leaves the report. History is never read again: a delta is merged into the counts, which lie in bucket
+folders by key, and only the buckets that the delta touches are read and rewritten.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronry.session import Scratch
+from heronry.session import BucketTable, Scratch
 
-SALTS = 16
+_COUNTS = "target string, key long, ref_table string, period string, refs long, present long"
 
 
 def month_of(ts: Column) -> Column:
@@ -42,17 +43,24 @@ def existence_deltas(table: DataFrame, target: str, sign: int = 1, column: str =
 class ReferenceCounts:
     """The persistent counts: (target, key, ref_table, period, refs, present), no row where both are zero."""
 
-    def __init__(self, scratch: Scratch, state: DataFrame | None = None):
-        self.scratch, self.state = scratch, state
-
-    def apply(self, *deltas: DataFrame) -> "ReferenceCounts":
-        """Merge deltas: one aggregation by key over the counts and the deltas, with partial sums."""
-        parts = [*deltas] if self.state is None else [self.state, *deltas]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        merged = union.groupBy("target", "key", "ref_table", "period").agg(F.sum("refs").alias("refs"), F.sum("present").alias("present"))
-        return ReferenceCounts(self.scratch, self.scratch.save(merged.where("refs <> 0 OR present <> 0"), "counts"))
+    def __init__(self, scratch: Scratch, buckets: int | None = None):
+        self.scratch, self.table = scratch, BucketTable(scratch, "counts", ["target", "key"], _COUNTS, buckets)
+
+    def apply(self, *deltas: DataFrame) -> ReferenceCounts:
+        """Merge deltas: they are summed, then added to the counts of the buckets they fall into."""
+        total = lambda df: df.groupBy("target", "key", "ref_table", "period").agg(F.sum("refs").alias("refs"), F.sum("present").alias("present"))
+        union = deltas[0]
+        for d in deltas[1:]:
+            union = union.unionByName(d)
+        delta = self.scratch.save(total(union), "delta")
+        buckets = self.table.touched(delta)
+        self.table.replace(total(self.table.read(buckets).unionByName(delta)).where("refs <> 0 OR present <> 0"), buckets)
+        self.scratch.drop(delta)
+        return self
+
+    @property
+    def state(self) -> DataFrame:
+        return self.table.read()
 
     def orphan_keys(self) -> DataFrame:
         """(target, key): positive references, zero existence."""
@@ -68,10 +76,11 @@ class ReferenceCounts:
 def orphan_rows(rows: DataFrame, orphans: DataFrame) -> DataFrame:
     """(ref_table, row_id) of the reference rows whose key is an orphan.
 
-    One missing key may hold a third of all rows, so both sides are salted: the rows by their id, the (distinct, few) orphan
-    keys by copying each to every salt."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    keys = orphans.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    One missing key may hold a third of all rows, so both sides are salted, by as many salts as the job has shuffle
+    partitions: the rows by their id, the (distinct, few) orphan keys by copying each to every salt."""
+    salts = max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
+    keys = orphans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(keys, ["target", "key", "salt"], "left_semi").select("ref_table", "row_id")
 
 
@@ -82,8 +91,13 @@ def media_references(media_tags: DataFrame, face_embeddings: DataFrame, people:
             .union(reference_rows(people, "people", "face_embeddings", "cover_face_id")))
 
 
-def media_reference_counts(scratch: Scratch, media_tags: DataFrame, face_embeddings: DataFrame, people: DataFrame, media_files: DataFrame) -> ReferenceCounts:
-    """Counts of the whole library, from nothing, as one delta."""
-    return ReferenceCounts(scratch).apply(
-        reference_deltas(media_references(media_tags, face_embeddings, people)),
-        existence_deltas(media_files, "media_files"), existence_deltas(people, "people"), existence_deltas(face_embeddings, "face_embeddings"))
+def media_reference_counts(scratch: Scratch, media_tags: DataFrame, face_embeddings: DataFrame, people: DataFrame, media_files: DataFrame, before=None) -> ReferenceCounts:
+    """Counts of the whole library from nothing. With ``before``, a timestamp, as two changes: the rows created earlier, then
+    all others, so that references come before and after the records they name."""
+    counts, tables = ReferenceCounts(scratch), (media_tags, face_embeddings, people, media_files)
+    early = lambda t: F.coalesce(F.col("created_at") < F.lit(before), F.lit(False))
+    for part in ([tables] if before is None else [[t.where(early(t)) for t in tables], [t.where(~early(t)) for t in tables]]):
+        tags, faces, persons, files = part
+        counts.apply(reference_deltas(media_references(tags, faces, persons)),
+                     existence_deltas(files, "media_files"), existence_deltas(persons, "people"), existence_deltas(faces, "face_embeddings"))
+    return counts

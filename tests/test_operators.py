@@ -125,6 +125,11 @@ def test_reference_counts_increment(spark, tmp_path):
     r = s.report().first()
     assert (r["ref_table"], r["period"], r["orphan_rows"], r["orphan_keys"]) == ("media_tags", "2024-05", len(want), 2)
     none = integrity.ReferenceCounts(Scratch(spark, "t")).apply(integrity.reference_deltas(refs.limit(0)), integrity.existence_deltas(files.limit(0), "media_files"))
+    few = integrity.ReferenceCounts(Scratch(spark, "t"), 64)
+    few.apply(integrity.reference_deltas(refs))
+    held = dict(few.table.folders)
+    few.apply(integrity.existence_deltas(spark.createDataFrame([(7,)], "id long"), "media_files"))
+    assert sum(held[b] != few.table.folders[b] for b in held) == 1 and len(held) > 3  # one bucket is rewritten
     assert rows(none.report()) == [] and rows(integrity.orphan_rows(refs, none.orphan_keys())) == []
 
 
