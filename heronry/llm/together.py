@@ -2,7 +2,7 @@
 
 A change to some baskets is turned into signed deltas: the pairs and items of the baskets' new contents minus those of their
 old contents. The deltas are merged into persistent counts, hash-bucketed by pair, and association scores are computed from
-them. Baskets that did not change are not read.
+them. Baskets and counts lie in bucket folders; a change reads and rewrites the buckets of its baskets and of its pairs only.
 
 Baskets with the same old and new contents are counted together before any pair is made, so the pairs follow the number of
 different baskets, not of baskets. Rows of a basket are made distinct with partial aggregates; a basket with a third of all
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.times import micros
-from heronry.session import Scratch
+from heronry.session import BucketTable, Scratch
 from heronry.sources.tables import table
 
 WIDE = 2000
@@ -30,55 +30,74 @@ def _pairs(changes: DataFrame, items: str, sign: int) -> DataFrame:
     return left.select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"), (F.col("n") * sign).alias("n"))
 
 
+def _wide_pairs(changes: DataFrame, items: str, sign: int) -> DataFrame:
+    """_pairs of baskets wider than WIDE: the items are cut in pieces, and each two pieces are one row of their own, which
+    carries those pieces only and goes to a task of its own."""
+    wide = changes.where(F.size(items) > WIDE)
+    cut = wide.select(F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / WIDE).cast("int")), lambda i: F.slice(items, i * WIDE + 1, WIDE)).alias("pieces"), "n")
+    left = cut.select(F.posexplode("pieces").alias("i", "left"), "pieces", "n")
+    both = left.select("i", "left", "n", F.posexplode("pieces").alias("j", "right")).where("j >= i").repartition("i", "j", F.xxhash64("left"))
+    pair = both.select("i", "j", F.explode("left").alias("a"), "right", "n").select("a", F.explode("right").alias("b"), "n")
+    return pair.where("a < b").select("a", "b", (F.col("n") * sign).alias("n"))
+
+
 def _singles(changes: DataFrame, items: str, sign: int) -> DataFrame:
     return changes.select(F.explode(items).alias("a"), F.lit(None).cast("int").alias("b"), (F.col("n") * sign).alias("n"))
 
 
 class PairCounts:
-    """Baskets (basket, items) and counts (a, b, n), where b is null in the count of a single item; both bucketed by key."""
+    """Baskets (basket, items) and counts (a, b, n), where b is null in the count of a single item, in bucket folders by key,
+    and the number of baskets. A change reads and rewrites the buckets of its baskets and of its pairs."""
 
-    def __init__(self, scratch: Scratch):
+    def __init__(self, scratch: Scratch, buckets: int | None = None):
         self.scratch = scratch
-        self.buckets = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
-        self.baskets: DataFrame | None = None
-        self.counts: DataFrame | None = None
-
-    def apply(self, added: DataFrame, removed: DataFrame | None = None) -> None:
-        """Merge rows (basket, item) that were added, and rows that were removed, into the counts."""
-        gather = lambda df, c: df.where("basket IS NOT NULL").select("basket", F.col("item").cast("int").alias("item")).distinct().groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias(c))
+        self.baskets = BucketTable(scratch, "baskets", ["basket"], "basket long, items array<int>", buckets)
+        self.counts = BucketTable(scratch, "pair_counts", ["a", "b"], "a int, b int, n long", buckets)
+        self.n = 0
+
+    def apply(self, added: DataFrame, removed: DataFrame | None = None) -> list[int]:
+        """Merge rows (basket, item) that were added, and rows that were removed, into the counts. Returns the buckets of
+        pairs that were rewritten."""
+        gather = lambda df, c: df.where("basket IS NOT NULL").select(F.col("basket").cast("long").alias("basket"), F.col("item").cast("int").alias("item")).distinct().groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias(c))
         none = F.array().cast("array<int>")
         changed = gather(added, "plus")
         if removed is not None:
             changed = changed.join(gather(removed, "minus"), "basket", "full")
         else:
             changed = changed.withColumn("minus", none)
-        if self.baskets is not None:
-            changed = changed.join(self.baskets, "basket", "left")
-        else:
-            changed = changed.withColumn("items", F.lit(None).cast("array<int>"))
+        changed = self.scratch.save(changed, "change")
+        buckets = self.baskets.touched(changed)
+        held = self.baskets.read(buckets)
+        both = held.join(changed.withColumn("changed", F.lit(True)), "basket", "full")
         old, plus, minus = (F.coalesce(c, none) for c in ("items", "plus", "minus"))
         # a basket of nulls alone exists without items; one that loses its last item still exists
-        now = self.scratch.save(changed.select("basket", F.col("items").alias("old"), F.array_sort(F.array_except(F.array_union(old, plus), minus)).alias("new")), "changed")
-        sets = self.scratch.save(now.groupBy(F.coalesce("old", none).alias("old"), "new").agg(F.count("*").alias("n")), "sets")
-        if (sets.agg(F.max(F.size("new"))).first()[0] or 0) > WIDE:  # a wide basket's pairs are made by many tasks
-            sets = sets.select(F.explode(F.array(F.lit("old"), F.lit("new"))).alias("side"), "old", "new", "n").repartition("side", "new")
-            sets = sets.withColumn("old", F.when(F.col("side") == "old", F.col("old")).otherwise(none)).withColumn("new", F.when(F.col("side") == "new", F.col("new")).otherwise(none))
-        deltas = _pairs(sets, "new", 1).union(_pairs(sets, "old", -1)).union(_singles(sets, "new", 1)).union(_singles(sets, "old", -1))
-        if self.counts is not None:
-            deltas = deltas.union(self.counts)
-        counts = deltas.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
-        kept = now.select("basket", F.col("new").alias("items"))
-        if self.baskets is not None:
-            kept = self.baskets.join(now.select("basket"), "basket", "left_anti").union(kept)
-        self.counts = self.scratch.save_bucketed(counts, "pair_counts", ["a", "b"], self.buckets)
-        self.baskets = self.scratch.save_bucketed(kept, "baskets", ["basket"], self.buckets)
-
-    def scores(self) -> DataFrame:
-        """(a, b, n_ab, n_a, n_b, n, lift, pmi, npmi) of every pair that occurs."""
-        n = self.baskets.count()
-        single = self.counts.where("b IS NULL")
+        now = self.scratch.save(both.select("basket", F.col("items").alias("old"), "changed", F.array_sort(F.array_except(F.array_union(old, plus), minus)).alias("new")), "baskets")
+        fresh = now.where("changed")
+        self.n += fresh.where("old IS NULL").count()
+        sets = fresh.groupBy(F.coalesce("old", none).alias("old"), "new").agg(F.count("*").alias("n")).where("old <> new")
+        sets = self.scratch.save(sets, "sets")
+        if (sets.agg(F.max(F.greatest(F.size("old"), F.size("new")))).first()[0] or 0) > WIDE:
+            narrow = sets.where((F.size("old") <= WIDE) & (F.size("new") <= WIDE))
+            rest = sets.where((F.size("old") > WIDE) | (F.size("new") > WIDE))
+            short = lambda c: rest.where(F.size(c) <= WIDE)
+            pairs = (_pairs(narrow, "new", 1).union(_pairs(narrow, "old", -1)).union(_wide_pairs(rest, "new", 1)).union(_wide_pairs(rest, "old", -1))
+                     .union(_pairs(short("new"), "new", 1)).union(_pairs(short("old"), "old", -1)))
+        else:
+            pairs = _pairs(sets, "new", 1).union(_pairs(sets, "old", -1))
+        total = lambda df: df.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
+        deltas = self.scratch.save(total(pairs.union(_singles(sets, "new", 1)).union(_singles(sets, "old", -1))), "deltas")
+        touched = self.counts.touched(deltas)
+        self.counts.replace(total(self.counts.read(touched).union(deltas)), touched)
+        self.baskets.replace(now.select("basket", F.col("new").alias("items")), buckets)
+        self.scratch.drop(changed, now, sets, deltas)
+        return touched
+
+    def scores(self, buckets: list[int] | None = None) -> DataFrame:
+        """(a, b, n_ab, n_a, n_b, n, lift, pmi, npmi) of every pair that occurs; of the pairs in some buckets, if they are named:
+        those that apply() told are the pairs whose own count changed."""
+        single = self.counts.read().where("b IS NULL")
         one = lambda c: single.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"))
-        pairs = self.counts.where("b IS NOT NULL").withColumnRenamed("n", "n_ab").join(one("a"), "a").join(one("b"), "b").withColumn("n", F.lit(n))
+        pairs = self.counts.read(buckets).where("b IS NOT NULL").withColumnRenamed("n", "n_ab").join(one("a"), "a").join(one("b"), "b").withColumn("n", F.lit(self.n).cast("long"))
         lift = F.col("n_ab") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
         return pairs.withColumn("lift", lift).withColumn("pmi", F.log("lift")).withColumn(
             "npmi", F.when(F.col("n_ab") < F.col("n"), F.col("pmi") / -F.log(F.col("n_ab") / F.col("n"))).otherwise(1.0)).select(

@@ -155,17 +155,34 @@ def test_batch_after_batch(spark, cap):
     hs = [r.getrandbits(12) << 30 for _ in range(40)] + [r.getrandbits(62) for _ in range(20)]
     rec = [(i, r.randrange(4), r.random() < 0.7, f"/{r.randrange(60)}", r.choice(hs)) for i in range(150)]
     df = spark.createDataFrame(rec, "record_id long, b int, accepted boolean, pkey string, h long").withColumn("batch_at", F.timestamp_seconds("b"))
-    whole = history.BatchHistory(Scratch(spark, "w"), 4, cap=cap)
+    whole = history.BatchHistory(Scratch(spark, "w"), 4, cap=cap, at="timestamp")
     whole.append(df.where("accepted"))
     once = rows(whole.screen(df))
     want = sorted((i,) for i, b, _, p, h in rec if any(a2 and b2 < b and (p2 == p or bin(h ^ h2).count("1") <= 5) for _, b2, a2, p2, h2 in rec))
     assert once == want
-    step, got = history.BatchHistory(Scratch(spark, "s"), 4, cap=cap), []
+    step, got = history.BatchHistory(Scratch(spark, "s"), 4, cap=cap, at="timestamp"), []
     for b in range(4):
         part = df.where(F.col("b") == b)
         got += rows(step.screen(part))
         step.append(part.where("accepted"))
-    assert sorted(got) == want
+    assert sorted(got) == want and (cap > 3) == (not step.hot.folders)
+
+
+def test_batch_reads_its_buckets(spark, monkeypatch):
+    """A small batch adds files to the buckets of its own keys, and reads no others; what is known adds no row."""
+    rec = [(i, True, f"/{i}", (i + 1) * 0x9E3779B97F4A7C1) for i in range(200)]
+    make = lambda x: spark.createDataFrame(x, "record_id long, accepted boolean, pkey string, h long").withColumn("batch_at", F.timestamp_seconds("record_id"))
+    h = history.BatchHistory(Scratch(spark, "b"), 64, at="timestamp")
+    h.append(make(rec))
+    before = {t.name: {b: list(f) for b, f in t.folders.items()} for t in (h.exact, h.pieces)}
+    read = []
+    monkeypatch.setattr(type(h.exact), "read", lambda self, buckets=None, f=type(h.exact).read: (read.append((self.name, buckets)), f(self, buckets))[1])
+    one = make([(999, True, "/7", 5)])
+    assert rows(h.screen(one)) == [(999,)]
+    h.append(one)
+    assert all(b is not None and len(b) <= {"exact": 2}.get(n, 21) for n, b in read)
+    assert sum(before["exact"].get(b) != f for b, f in h.exact.folders.items()) == 1 and h.exact.read().where("pkey = '/7'").count() == 1
+    assert 0 < sum(before["pieces"].get(b) != f for b, f in h.pieces.folders.items()) <= 21
 
 
 # p6
@@ -286,7 +303,7 @@ def test_pairs_increment(spark):
     b = [(r.randrange(40), r.randrange(6)) for _ in range(60)]
     gone = r.sample(a[:90], 20)
     make = lambda x: spark.createDataFrame(x, "basket long, item int")
-    c = together.PairCounts(Scratch(spark, "t"))
+    c = together.PairCounts(Scratch(spark, "t"), 16)
     c.apply(make(a))
     c.apply(make(b))
     c.apply(make([]), make(gone))
@@ -304,6 +321,11 @@ def test_pairs_increment(spark):
                     want[x, y] = want.get((x, y), 0) + 1
     got = {(x["a"], x["b"]): (x["n_ab"], x["n"]) for x in c.scores().collect()}
     assert got == {k: (n, len(left)) for k, n in want.items()}
+    baskets, counts = dict(c.baskets.folders), dict(c.counts.folders)
+    told = c.apply(make([(3000, 0), (3000, 1)]))
+    assert sum(baskets.get(b) != f for b, f in c.baskets.folders.items()) == 1  # one bucket of baskets, and those of its pair and items
+    assert {b for b, f in c.counts.folders.items() if counts.get(b) != f} == set(told) and len(told) <= 3
+    assert {(x["a"], x["b"]) for x in c.scores(told).collect()} >= {(0, 1)}
 
 
 def test_wide_basket(spark):
@@ -314,6 +336,11 @@ def test_wide_basket(spark):
         c.apply(spark.createDataFrame([(1, i) for i in range(12)] * 2 + [(2, 0), (2, 1)], "basket long, item int"))
         s = {(r["a"], r["b"]): r["n_ab"] for r in c.scores().collect()}
         assert len(s) == 66 and s[0, 1] == 2 and s[3, 9] == 1
+        sets = spark.createDataFrame([(list(range(12)), 1)], "new array<int>, n long")
+        tasks = together._wide_pairs(sets, "new", 1).groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and sum(r[1] for r in tasks) == 66
+        c.apply(spark.createDataFrame([], "basket long, item int"), spark.createDataFrame([(1, i) for i in range(3, 12)], "basket long, item int"))
+        assert {(r["a"], r["b"]): r["n_ab"] for r in c.scores().collect()} == {(0, 1): 2, (0, 2): 1, (1, 2): 1}
     finally:
         together.WIDE = old
 
