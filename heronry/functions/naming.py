@@ -47,12 +47,12 @@ def category_folder(scheme: str, ts: Column, label: Column) -> Column:
     return label
 
 
-def remote_path(path: Column, root: str, flat: bool = False) -> Column:
-    """Mirror of the path below root, or the name alone."""
-    if flat:
-        return F.element_at(F.split(path, "/"), -1)
+def remote_path(path: Column, root: str, flat: bool = False, prefix: str = "") -> Column:
+    """Mirror of the path below root, or the name alone, below a prefix at the destination if there is one."""
+    name = F.element_at(F.split(path, "/"), -1)
     inside = F.startswith(path, F.lit(root.rstrip("/") + "/"))
-    return F.when(inside, F.substr(path, F.lit(len(root.rstrip("/")) + 2))).otherwise(F.element_at(F.split(path, "/"), -1))
+    below = name if flat else F.when(inside, F.substr(path, F.lit(len(root.rstrip("/")) + 2))).otherwise(name)
+    return F.concat(F.lit(prefix.strip("/") + "/"), below) if prefix.strip("/") else below
 
 
 def glob_regex(pattern: str) -> str:
@@ -104,8 +104,10 @@ def human_size(n: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB")
     return out
 
 
-MIME = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".bmp": "image/bmp", ".tiff": "image/tiff", ".heic": "image/heic",
-        ".mp4": "video/mp4", ".mov": "video/quicktime", ".avi": "video/x-msvideo", ".mkv": "video/x-matroska", ".webm": "video/webm"}
+# Types by extension.
+MIME = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".bmp": "image/bmp", ".heic": "image/heic",
+        ".webp": "image/webp", ".tiff": "image/tiff", ".raf": "image/x-fuji-raf", ".mp4": "video/mp4", ".mov": "video/quicktime", ".avi": "video/x-msvideo",
+        ".mkv": "video/x-matroska", ".webm": "video/webm", ".wmv": "video/x-ms-wmv", ".flv": "video/x-flv"}
 
 
 def mime_type(ext: Column) -> Column:

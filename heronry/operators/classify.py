@@ -38,18 +38,37 @@ def candidates(scored: DataFrame, scores: dict[str, tuple[Column, str, int]]) ->
     return scored.select("file_id", F.explode(F.filter(each, lambda e: e["confidence"] > 0)).alias("e")).select("file_id", "e.*")
 
 
+def pipeline(files: DataFrame, scored: DataFrame, scores: dict[str, tuple[Column, str, int]], more: DataFrame, enabled: DataFrame, auto_threshold: float) -> DataFrame:
+    """(file_id, key, confidence, source, verdict) of files (file_id, is_video): the classification as one flow.
+
+    A video is tagged 'videos' with confidence 1 and takes part in no further stage. The stages of all other files give wide
+    rule scores (``scored`` by ``scores``, see candidates()) and long ones of models (``more``: file_id, key, confidence,
+    source, stage), null or zero scores being none. The highest per file and key is kept and resolved against the threshold."""
+    videos = files.where("is_video").select("file_id", F.lit("videos").alias("key"), F.lit(1.0).alias("confidence"), F.lit("filesystem").alias("source"), F.lit(0).alias("stage"))
+    still = files.where("NOT is_video").select("file_id")
+    rules = candidates(scored.join(still, "file_id", "left_semi"), scores)
+    models = more.where("confidence > 0").join(still, "file_id", "left_semi").select("file_id", "key", "confidence", "source", "stage")
+    return resolved(files, videos.union(rules).union(models), enabled, auto_threshold)
+
+
 def summary(tags: DataFrame) -> DataFrame:
     return tags.groupBy("key").agg(F.count_if(F.col("verdict") == "auto").alias("tagged"), F.count_if(F.col("verdict") == "review").alias("to_review"))
 
 
-def resolve_review(tags: DataFrame, queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tags, queue) after decisions (id, category_id): a manual tag of confidence 1 is added unless the file has one of that
-    category in the run, the review is marked resolved. Decisions on unknown or resolved reviews change nothing."""
-    d = decisions.select("id", F.col("category_id").alias("chosen")).dropDuplicates(["id"])
+def resolve_review(tags: DataFrame, queue: DataFrame, decisions: DataFrame, categories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tags, queue) after decisions (id, category_id): a manual tag of confidence 1 is inserted unless the file has one of that
+    category in the run, also by another decision; the review is marked resolved. A null run equals no other. Decisions on
+    unknown or resolved reviews, and for categories that ``categories`` (id) has not, change nothing; of several decisions on
+    one review that of the smallest category counts."""
+    d = decisions.select("id", F.col("category_id").alias("chosen")).where("chosen IS NOT NULL")
+    if categories is not None:
+        d = d.join(categories.select(F.col("id").alias("chosen")), "chosen", "left_semi")
+    d = d.groupBy("id").agg(F.min("chosen").alias("chosen"))
     done = queue.where(~F.col("resolved")).join(d, "id")
-    fresh = done.select("file_id", F.col("chosen").alias("category_id"), F.lit(1.0).alias("confidence"), F.lit("manual").alias("source"), "run_id")
-    known = tags.select("file_id", "category_id", "run_id")  # a null run never equals another
-    added = fresh.join(known, ["file_id", "category_id", "run_id"], "left_anti")
+    fresh = done.select("file_id", F.col("chosen").alias("category_id"), "run_id", F.lit(1.0).alias("confidence"), F.lit("manual").alias("source"))
+    key = ["file_id", "category_id", "run_id"]
+    whole = F.col("file_id").isNotNull() & F.col("run_id").isNotNull()
+    added = fresh.where(whole).dropDuplicates(key).join(tags.select(*key), key, "left_anti").unionByName(fresh.where(~whole))
     kept = queue.join(d, "id", "left").withColumn("now", ~F.col("resolved") & F.col("chosen").isNotNull()).select(
         *[c for c in queue.columns if c not in ("resolved", "resolved_category_id")], (F.col("resolved") | F.col("now")).alias("resolved"),
         F.when(F.col("now"), F.col("chosen")).otherwise(F.col("resolved_category_id")).alias("resolved_category_id"))

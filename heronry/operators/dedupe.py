@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from heronry.functions.hashes import hash_hex
+from heronry.functions.paths import path_key
 from heronry.operators.components import connected_components
 from heronry.operators.hamming import hamming_pairs
 from heronry.session import Scratch
+from heronry.sources.tables import scans_in_force
 
 
 def duplicate_groups(fingerprints: DataFrame, threshold: int = 10, scratch: Scratch | None = None) -> DataFrame:
@@ -32,6 +34,18 @@ def duplicate_groups(fingerprints: DataFrame, threshold: int = 10, scratch: Scra
             .select("group_id", "path", "h", "resolution", (F.col("path") == F.col("best")).alias("is_best"), "group_size"))
 
 
+def representatives(groups: DataFrame) -> DataFrame:
+    """(group_id, h): of each group the hash of its first member by path, which stands for the group in a report."""
+    return groups.groupBy("group_id").agg(F.min(F.struct("path", "h"))["h"].alias("h"))
+
+
+def tagged_union(source: DataFrame, destination: DataFrame) -> DataFrame:
+    """(path, h, resolution, is_dest) of fingerprints at the source and at the destination, scanned together; a file that lies
+    in both is at the destination."""
+    both = source.withColumn("is_dest", F.lit(False)).unionByName(destination.withColumn("is_dest", F.lit(True)))
+    return both.groupBy("path").agg(F.max(F.struct("is_dest", "h", "resolution")).alias("m")).select("path", "m.h", "m.resolution", "m.is_dest")
+
+
 def report(groups: DataFrame, sizes: DataFrame, scanned: DataFrame) -> DataFrame:
     """One row: scanned, hashed, groups, duplicates, bytes to win, and the rates; a rate of nothing is 0.
 
@@ -56,14 +70,15 @@ def top_groups(groups: DataFrame, n_groups: int = 10, n_members: int = 3) -> Dat
         "group_id", "at", "path", F.greatest(F.col("group_size") - 1 - n_members, F.lit(0)).alias("more"))
 
 
-def keep_plan(groups: DataFrame, action: str = "move", target: str = "/duplicates") -> DataFrame:
-    """(action, src, dst, group_id) for every file but the best of its group. Equal names at the target get _1, _2, ..."""
+def keep_plan(groups: DataFrame, action: str = "move", target: str = "/duplicates", taken: DataFrame | None = None) -> DataFrame:
+    """(action, src, dst, group_id) for every file but the best of its group. Names that are not free at the target get _1, _2,
+    ...; ``taken`` (folder, name) are those that are there already."""
     from heronry.operators.organise import with_free_names
 
     losers = groups.where(~F.col("is_best")).select("group_id", F.col("path").alias("src"), F.element_at(F.split("path", "/"), -1).alias("name"))
     if action == "delete":
         return losers.select(F.lit(action).alias("action"), "src", F.lit(None).cast("string").alias("dst"), "group_id")
-    named = with_free_names(losers.withColumn("folder", F.lit(target)), "folder", "name", "src")
+    named = with_free_names(losers.withColumn("folder", F.lit(target)), "folder", "name", "src", taken)
     return named.select(F.lit(action).alias("action"), "src", F.concat_ws("/", "folder", "free_name").alias("dst"), "group_id")
 
 
@@ -93,13 +108,14 @@ def destination_skips(groups: DataFrame, at_destination: Column) -> DataFrame:
 
 
 def fingerprints(image_info: DataFrame) -> DataFrame:
-    """(path, h, resolution) of each path as it is spelled, from its latest scans that have them."""
-    from heronry.functions.hashes import parse_hash
+    """(path, h, resolution) of each scanned file, under the plain spelling of its path: a file that was scanned under several
+    spellings is one file, with the hash and the resolution of its latest scans that have them."""
+    return scans_in_force(image_info).withColumnRenamed("pkey", "path")
+
 
-    at = lambda v: F.struct("scanned_at", "info_id", v.alias("v"))
-    h, r = F.col("h"), F.col("resolution")
-    return (image_info.select("path", parse_hash(F.col("hash")).alias("h"), "resolution", "scanned_at", "info_id").groupBy("path")
-            .agg(F.max(F.when(h.isNotNull(), at(h)))["v"].alias("h"), F.max(F.when(r > 0, at(r)))["v"].alias("resolution")))
+def same_files(paths: DataFrame, column: str = "path") -> DataFrame:
+    """(path): the different files that a column of paths names, under their plain spelling."""
+    return paths.select(path_key(column).alias("path")).where("path IS NOT NULL").distinct()
 
 
 def hex_of(groups: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heronry.operators.components import connected_components
 from heronry.session import Scratch
 
 
@@ -100,14 +101,20 @@ def leader_clusters(vectors: DataFrame, threshold: float = 0.5, step: int = 2000
         left = placed.where("leader_id IS NULL").select("id", "v")
 
 
-def merge_people(people: DataFrame, faces: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(people, faces) after merges (keep_id, merge_id): faces of merge_id go to keep_id, then merge_id is deleted. Merges of
-    a person with itself or with an unknown person are refused."""
-    known = people.select(F.col("id").alias("keep_id"))
-    m = merges.where("keep_id <> merge_id").join(known, "keep_id", "left_semi").groupBy("merge_id").agg(F.min("keep_id").alias("keep_id"))
-    moved = faces.join(m, faces["person_id"] == m["merge_id"], "left").select(
+def merge_people(people: DataFrame, faces: DataFrame, merges: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(people, faces) after merges (keep_id, merge_id): faces of merge_id go to keep_id, then merge_id is deleted. Chains run
+    on: persons merged with one another, directly or not, become the smallest of them that is merged into none, or the
+    smallest of all if they are merged in a circle. Merges of a person with itself or with an unknown person are refused."""
+    known = people.select("id").where("id IS NOT NULL").distinct()
+    m = merges.where("keep_id <> merge_id").join(known.withColumnRenamed("id", "keep_id"), "keep_id", "left_semi").join(known.withColumnRenamed("id", "merge_id"), "merge_id", "left_semi")
+    group = connected_components(m.select(F.col("keep_id").alias("a"), F.col("merge_id").alias("b")), scratch)
+    gone = m.select(F.col("merge_id").alias("vertex"), F.lit(True).alias("gone")).distinct()
+    best = F.min(F.struct(F.coalesce("gone", F.lit(False)).alias("gone"), "vertex"))["vertex"]
+    keep = group.join(gone, "vertex", "left").groupBy("component").agg(best.alias("keep_id"))
+    to = group.join(keep, "component").where("vertex <> keep_id").select(F.col("vertex").alias("merge_id"), "keep_id")
+    moved = faces.join(to, faces["person_id"] == to["merge_id"], "left").select(
         *[F.coalesce("keep_id", "person_id").alias("person_id") if c == "person_id" else faces[c] for c in faces.columns])
-    return people.join(m, people["id"] == m["merge_id"], "left_anti"), moved
+    return people.join(to, people["id"] == to["merge_id"], "left_anti"), moved
 
 
 def delete_people(people: DataFrame, faces: DataFrame, gone: DataFrame, purge: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -46,10 +46,12 @@ def history(runs: DataFrame, accounts: DataFrame, manifest: DataFrame, n: int =
     return run_statistics(top, few).withColumn("can_undo", F.col("is_last") & F.col("status").isin("completed", "partial")).drop("is_last")
 
 
-def undo_plan(runs: DataFrame, manifest: DataFrame, run_id) -> DataFrame:
-    """(id, remote_path, action) for the uploaded rows of a run, if it is its account's last and was completed at least in part."""
+def undo_plan(runs: DataFrame, manifest: DataFrame, run_id=None) -> DataFrame:
+    """(id, remote_path, action) for the uploaded rows of a run, or of every account's, if it is its account's last and was
+    completed at least in part."""
     last = F.row_number().over(W.partitionBy("account_id").orderBy(F.col("id").desc())) == 1
-    ok = runs.withColumn("is_last", last).where((F.col("id") == run_id) & F.col("is_last") & F.col("status").isin("completed", "partial"))
+    wanted = F.lit(True) if run_id is None else F.col("id") == run_id
+    ok = runs.withColumn("is_last", last).where(wanted & F.col("is_last") & F.col("status").isin("completed", "partial"))
     return manifest.where("status = 'uploaded'").join(ok.select(F.col("id").alias("sync_run_id")), "sync_run_id", "left_semi").select(
         "id", "remote_path", F.lit("delete").alias("action"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from heronry.functions.constants import BATCH_GAP_SECONDS, PENDING_SECONDS, SUPPRESSING_STATUSES
+from heronry.functions.paths import path_key
 from heronry.functions.times import micros
 
 
@@ -42,6 +43,6 @@ def batch_summary(batched: DataFrame, key: list[str], ts: str) -> DataFrame:
 
 
 def unprocessed(found: DataFrame, events: DataFrame) -> DataFrame:
-    """Files (file_path) of no event that ended; in-flight ones come again."""
-    done = events.where(F.lower(F.trim("status")).isin(SUPPRESSING_STATUSES)).select("file_path").distinct()
-    return found.join(done, "file_path", "left_anti")
+    """Files (file_path) of no event that ended, under whatever spelling; in-flight ones come again."""
+    done = events.where(F.lower(F.trim("status")).isin(SUPPRESSING_STATUSES)).select(path_key("file_path").alias("_key")).distinct()
+    return found.withColumn("_key", path_key("file_path")).join(done, "_key", "left_anti").drop("_key")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from heronry.functions.constants import SUPPRESSING_STATUSES
 from heronry.operators import catalog as ops
 from heronry.operators.faces import delete_people, merge_people
+from heronry.functions.paths import path_key
+from heronry.plans.sql import path_key as sql_key
 from heronry.sources.tables import table
 
 RUN = "run-full-library"
@@ -59,17 +61,18 @@ def review_queue_of_type(spark, d):
 
 
 @query("review_resolve", f"""
-WITH q AS {_QUEUE}, d AS (SELECT id, (id % 40 + 1)::INT AS chosen FROM q WHERE id % 7 = 0),
+WITH q AS {_QUEUE}, d AS (SELECT id, (id % 45 + 1)::INT AS chosen FROM q WHERE id % 7 = 0 AND (id % 45 + 1) IN (SELECT id FROM categories)),
 done AS (SELECT q.file_id, d.chosen AS category_id, q.run_id FROM q JOIN d USING (id) WHERE NOT q.resolved)
-SELECT file_id, category_id, 'manual' AS source, count(*) AS n FROM done
-WHERE NOT EXISTS (SELECT 1 FROM media_tags t WHERE t.file_id = done.file_id AND t.category_id = done.category_id AND t.run_id = done.run_id) GROUP BY 1, 2""")
+SELECT DISTINCT file_id, category_id, 'manual' AS source, run_id FROM done WHERE run_id IS NOT NULL AND file_id IS NOT NULL
+AND NOT EXISTS (SELECT 1 FROM media_tags t WHERE t.file_id = done.file_id AND t.category_id = done.category_id AND t.run_id = done.run_id)
+UNION ALL SELECT file_id, category_id, 'manual', run_id FROM done WHERE run_id IS NULL OR file_id IS NULL""")
 def review_resolve(spark, d):
     from heronry.operators.classify import resolve_review
 
     q = _queue(spark, d).withColumn("resolved_category_id", F.lit(None).cast("int"))
-    decisions = q.where("id % 7 = 0").select("id", (F.col("id") % 40 + 1).cast("int").alias("category_id"))
-    tags, _ = resolve_review(table(spark, d, "media_tags").withColumn("source", F.lit("other")), q, decisions)
-    return tags.where("source = 'manual'").groupBy("file_id", "category_id", "source").agg(F.count("*").alias("n"))
+    decisions = q.where("id % 7 = 0").select("id", (F.col("id") % 45 + 1).cast("int").alias("category_id"))
+    tags, _ = resolve_review(table(spark, d, "media_tags").withColumn("source", F.lit("other")), q, decisions, table(spark, d, "categories"))
+    return tags.where("source = 'manual'").select("file_id", "category_id", "source", "run_id")
 
 
 @query("faces_unidentified", """SELECT e.id, f.path, e.bbox.w AS w, e.bbox.h AS h, e.created_at FROM face_embeddings e JOIN media_files f ON f.id = e.file_id
@@ -97,15 +100,16 @@ def events_page(spark, d):
     return ops.page(e, [F.col("detected_at").desc_nulls_last(), F.col("id").desc()], 50, 100).select("id", "file_path", "status", "label")
 
 
-@query("events_limit_then_filter", """SELECT id, status FROM (SELECT * FROM watcher_events ORDER BY detected_at DESC NULLS LAST, id DESC LIMIT 100) WHERE watcher_config_id = 2""")
+@query("events_limit_then_filter", """SELECT id, status FROM (SELECT * FROM watcher_events ORDER BY detected_at DESC NULLS LAST, id DESC LIMIT 100) WHERE watcher_config_id <= 10""")
 def events_limit_then_filter(spark, d):
     e = table(spark, d, "watcher_events")
-    return ops.page(e, [F.col("detected_at").desc_nulls_last(), F.col("id").desc()], 100).where("watcher_config_id = 2").select("id", "status")
+    return ops.page(e, [F.col("detected_at").desc_nulls_last(), F.col("id").desc()], 100).where("watcher_config_id <= 10").select("id", "status")
 
 
-@query("events_processed_paths", """SELECT DISTINCT file_path FROM watcher_events WHERE lower(trim(status)) IN ('completed', 'ignored', 'failed')""")
+@query("events_processed_paths", f"""SELECT DISTINCT {sql_key('file_path')} AS file_path FROM watcher_events WHERE lower(trim(status)) IN ('completed', 'ignored', 'failed') AND file_path IS NOT NULL""")
 def events_processed_paths(spark, d):
-    return table(spark, d, "watcher_events").where(F.lower(F.trim("status")).isin(SUPPRESSING_STATUSES)).select("file_path").distinct()
+    e = table(spark, d, "watcher_events").where(F.lower(F.trim("status")).isin(SUPPRESSING_STATUSES) & F.col("file_path").isNotNull())
+    return e.select(path_key("file_path").alias("file_path")).distinct()
 
 
 @query("run_summary", f"""SELECT c.key, c.label, count(*) AS tags, count(DISTINCT t.file_id) AS files FROM media_tags t JOIN categories c ON c.id = t.category_id
@@ -140,23 +144,15 @@ def categories_update(spark, d):
     return ops.updated(c, changes, "id").select("id", "priority", "default_enabled")
 
 
-@query("tags_insert_or_ignore", """
-WITH t AS (SELECT file_id, category_id, run_id, confidence FROM media_tags WHERE id % 2 = 0), n AS (SELECT file_id, category_id, run_id, confidence FROM media_tags WHERE id % 3 = 0),
-f AS (SELECT file_id, category_id, run_id, min(coalesce(confidence, -1)) AS confidence FROM n WHERE run_id IS NOT NULL AND file_id IS NOT NULL AND category_id IS NOT NULL
+@query("tags_insert_or_ignore", f"""
+WITH n AS (SELECT file_id, category_id, run_id, confidence FROM media_tags), t AS (SELECT * FROM n WHERE run_id = '{RUN}'),
+f AS (SELECT file_id, category_id, run_id, CASE WHEN count(*) > count(confidence) THEN NULL ELSE min(confidence) END AS confidence FROM n WHERE run_id IS NOT NULL AND file_id IS NOT NULL AND category_id IS NOT NULL
 AND NOT EXISTS (SELECT 1 FROM t WHERE t.file_id = n.file_id AND t.category_id = n.category_id AND t.run_id = n.run_id) GROUP BY 1, 2, 3)
-SELECT run_id IS NULL AS no_run, count(*) AS n, count(DISTINCT file_id) AS files FROM (SELECT * FROM t UNION ALL SELECT * FROM f UNION ALL SELECT * FROM n WHERE run_id IS NULL OR file_id IS NULL OR category_id IS NULL) GROUP BY 1""")
+SELECT * FROM t UNION ALL SELECT * FROM f UNION ALL SELECT * FROM n WHERE run_id IS NULL OR file_id IS NULL OR category_id IS NULL""")
 def tags_insert_or_ignore(spark, d):
-    t = table(spark, d, "media_tags").select("file_id", "category_id", "run_id", "confidence", "id")
-    both = ops.insert_or_ignore(t.where("id % 2 = 0").drop("id"), t.where("id % 3 = 0").drop("id"), ["file_id", "category_id", "run_id"])
-    return both.groupBy(F.col("run_id").isNull().alias("no_run")).agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
-
-
-@query("tags_insert_or_ignore_all")
-def tags_insert_or_ignore_all(spark, d):
     """All tags put into those of one run; every row is read."""
     t = table(spark, d, "media_tags").select("file_id", "category_id", "run_id", "confidence")
-    all_ = ops.insert_or_ignore(t.where(F.col("run_id") == RUN), t, ["file_id", "category_id", "run_id"])
-    return all_.groupBy(F.col("run_id").isNull().alias("no_run")).agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
+    return ops.insert_or_ignore(t.where(F.col("run_id") == RUN), t, ["file_id", "category_id", "run_id"])
 
 
 @query("run_config_replace", """SELECT id, CASE WHEN id % 3 = 0 THEN upper(name) ELSE name END AS name FROM people""")
@@ -165,11 +161,12 @@ def run_config_replace(spark, d):
     return ops.insert_or_replace(p, p.where("id % 3 = 0").select("id", F.upper("name").alias("name")), ["id"])
 
 
-@query("files_get_or_create", """SELECT count(*) AS n, count(DISTINCT path) AS paths FROM (SELECT path FROM media_files UNION SELECT file_path FROM watcher_events WHERE file_path IS NOT NULL)""")
+@query("files_get_or_create", f"""WITH e AS (SELECT DISTINCT {sql_key('file_path')} AS path FROM watcher_events)
+SELECT path, true AS known FROM media_files WHERE path IS NOT NULL UNION ALL SELECT path, false FROM e WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM media_files WHERE path IS NOT NULL)""")
 def files_get_or_create(spark, d):
-    f = table(spark, d, "media_files").select("path", F.lit(1).alias("known"))
-    new = table(spark, d, "watcher_events").where("file_path IS NOT NULL").select(F.col("file_path").alias("path"), F.lit(0).alias("known"))
-    return ops.insert_or_ignore(f, new, ["path"]).agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
+    f = table(spark, d, "media_files").where("path IS NOT NULL").select(path_key("path").alias("path"), F.lit(True).alias("known"))
+    new = table(spark, d, "watcher_events").select(path_key("file_path").alias("path"), F.lit(False).alias("known")).where("path IS NOT NULL")
+    return ops.insert_or_ignore(f, new, ["path"])
 
 
 @query("face_point_lookup", "SELECT e.id, e.file_id, len(e.embedding)::INT AS dims FROM people p JOIN face_embeddings e ON e.id = p.cover_face_id")
@@ -200,12 +197,11 @@ def people_merge(spark, d):
     return faces.groupBy("person_id").agg(F.count("*").alias("faces"))
 
 
-@query("people_delete", """SELECT 'kept' AS mode, count(*) AS faces, count(person_id) AS named FROM (SELECT CASE WHEN person_id IN (SELECT id FROM people WHERE id % 3 = 0) THEN NULL ELSE person_id END AS person_id FROM face_embeddings)
-UNION ALL SELECT 'purged', count(*), count(person_id) FROM face_embeddings WHERE person_id IS NULL OR person_id NOT IN (SELECT id FROM people WHERE id % 3 = 0)""")
+@query("people_delete", """SELECT 'kept' AS mode, id, CASE WHEN person_id IN (SELECT id FROM people WHERE id % 3 = 0) THEN NULL ELSE person_id END AS person_id FROM face_embeddings
+UNION ALL SELECT 'purged', id, person_id FROM face_embeddings WHERE person_id IS NULL OR person_id NOT IN (SELECT id FROM people WHERE id % 3 = 0)""")
 def people_delete(spark, d):
     p, f = table(spark, d, "people"), table(spark, d, "face_embeddings").select("id", "person_id")
-    out = [delete_people(p, f, p.where("id % 3 = 0").select("id"), purge)[1].agg(F.lit(m).alias("mode"), F.count("*").alias("faces"), F.count("person_id").alias("named"))
-           for m, purge in (("kept", False), ("purged", True))]
+    out = [delete_people(p, f, p.where("id % 3 = 0").select("id"), purge)[1].select(F.lit(m).alias("mode"), "id", "person_id") for m, purge in (("kept", False), ("purged", True))]
     return out[0].union(out[1])
 
 

@@ -145,11 +145,47 @@ def rule_candidates(spark, d):
         "night": (rules.night_score(c("iso"), c("exposure")), "exif", 1)}).select("file_id", "key", "confidence")
 
 
-@query("face_boxes", """SELECT id, greatest(0, bbox.x - (bbox.w * 0.2)::DOUBLE::DECIMAL(20, 6)::BIGINT) AS n FROM face_embeddings WHERE false UNION ALL
-SELECT id, (least(4000, bbox.x + bbox.w + floor(bbox.w * 0.2)::INT) - greatest(0, bbox.x - floor(bbox.w * 0.2)::INT)) * (least(3000, bbox.y + bbox.h + floor(bbox.h * 0.2)::INT) - greatest(0, bbox.y - floor(bbox.h * 0.2)::INT)) AS n FROM face_embeddings WHERE bbox IS NOT NULL""")
+_ON = ["videos", "screenshots", "documents", "travel", "events", "night", "people", "family", "nature", "food", "pets"]
+
+
+@query("classify_pipeline", f"""WITH m AS (SELECT *, {_HAV} AS a, list_has_any({_KEYS}, {_WORDS(TRAVEL_KEYWORDS)}) AS told, list_has_any({_KEYS}, {_WORDS(EVENT_KEYWORDS)}) AS event,
+  greatest(width, height) / least(width, height)::DOUBLE AS q, file_id % 13 = 0 AS is_video FROM {_META}),
+n AS (SELECT *, coalesce({_KM} > 50, false) AS far FROM m WHERE NOT is_video),
+f AS (SELECT file_id, count(*) AS k FROM face_embeddings WHERE file_id IS NOT NULL GROUP BY 1),
+v AS (SELECT l_partkey AS file_id, CASE l_linenumber % 3 WHEN 0 THEN 'nature' WHEN 1 THEN 'food' ELSE 'pets' END AS key, max(l_discount * 10) AS confidence FROM lineitem GROUP BY 1, 2),
+c AS (SELECT file_id, 'videos' AS key, 1.0::DOUBLE AS confidence, 'filesystem' AS source, 0 AS stage FROM m WHERE is_video
+UNION ALL SELECT file_id, 'screenshots', CASE WHEN {_SHOT} AND {_TOLD} THEN 0.9::DOUBLE + 0.05::DOUBLE WHEN {_SHOT} THEN 0.9 ELSE 0.85::DOUBLE + 0.05::DOUBLE END, 'heuristic', 2 FROM n WHERE ({_SHOT}) OR {_TOLD}
+UNION ALL SELECT file_id, 'documents', CASE WHEN camera THEN 0.4 ELSE 0.7 END, 'heuristic', 2 FROM n WHERE abs(q - 1.4142) / 1.4142 < 0.05 OR abs(q - 1.2941) / 1.2941 < 0.05 OR abs(q - 1.5455) / 1.5455 < 0.05
+UNION ALL SELECT file_id, 'travel', CASE WHEN far AND told THEN 0.9 WHEN far THEN 0.8 ELSE 0.7 END, 'exif', 1 FROM n WHERE far OR told
+UNION ALL SELECT file_id, 'events', 0.7, 'exif', 1 FROM n WHERE event
+UNION ALL SELECT file_id, 'night', CASE WHEN iso >= 3200 AND exposure >= 1.0 THEN 0.75 ELSE 0.5 END, 'exif', 1 FROM n WHERE iso >= 1600 AND exposure >= 0.5
+UNION ALL SELECT f.file_id, 'people', 0.9, 'ml_face', 4 FROM f JOIN n USING (file_id) UNION ALL SELECT f.file_id, 'events', 0.75, 'ml_face', 4 FROM f JOIN n USING (file_id) WHERE k >= 4
+UNION ALL SELECT v.file_id, v.key, v.confidence, 'ml_scene', 3 FROM v JOIN n USING (file_id) WHERE v.confidence > 0),
+w AS (SELECT file_id, key, confidence::DOUBLE AS confidence, source, CASE WHEN confidence >= 0.6 THEN 'auto' ELSE 'review' END AS verdict FROM c WHERE key IN {tuple(_ON)} QUALIFY row_number() OVER (PARTITION BY file_id, key ORDER BY confidence DESC, stage, source) = 1)
+SELECT * FROM w UNION ALL SELECT file_id, 'other', 1.0, 'fallback', 'auto' FROM m WHERE file_id NOT IN (SELECT file_id FROM w WHERE verdict = 'auto')""")
+def classify_pipeline(spark, d):
+    """All stages as one flow: videos alone, rules of metadata and shape, scenes and faces, merge, resolution."""
+    c, home = F.col, (F.lit(48.0), F.lit(11.0))
+    meta, words = _meta(spark, d), rules.keyword_list(c("words"))
+    scores = {"travel": (rules.travel_score(c("lat"), c("lon"), *home, words), "exif", 1), "events": (rules.event_score(words), "exif", 1),
+              "night": (rules.night_score(c("iso"), c("exposure")), "exif", 1),
+              "screenshots": (rules.screenshot_score(c("width"), c("height"), c("camera"), c("software")), "heuristic", 2),
+              "documents": (rules.document_score(c("width"), c("height"), c("camera")), "heuristic", 2)}
+    faces = table(spark, d, "face_embeddings").where("file_id IS NOT NULL").groupBy("file_id").agg(F.count("*").alias("n"))
+    tags = rules.face_scores(c("n"), F.lit(0), F.lit(1), F.lit(False), F.lit(True))
+    faces = faces.select("file_id", F.explode(tags).alias("key", "confidence")).where(c("key").isin("people", "events")).select("file_id", "key", "confidence", F.lit("ml_face").alias("source"), F.lit(4).alias("stage"))
+    key = F.element_at(F.array(F.lit("nature"), F.lit("food"), F.lit("pets")), (c("l_linenumber") % 3 + 1).cast("int"))
+    scenes = table(spark, d, "lineitem").groupBy(c("l_partkey").alias("file_id"), key.alias("key")).agg(F.max(c("l_discount") * 10).alias("confidence"))
+    more = scenes.select("file_id", "key", "confidence", F.lit("ml_scene").alias("source"), F.lit(3).alias("stage")).union(faces)
+    enabled = spark.createDataFrame([(k,) for k in _ON], "key string")
+    return ops.pipeline(meta.select("file_id", (c("file_id") % 13 == 0).alias("is_video")), meta, scores, more, enabled, 0.6)
+
+
+@query("face_boxes", """SELECT id, greatest(0, bbox.x - floor(bbox.w * 0.2)::INT) AS x1, greatest(0, bbox.y - floor(bbox.h * 0.2)::INT) AS y1,
+least(4000, bbox.x + bbox.w + floor(bbox.w * 0.2)::INT) AS x2, least(3000, bbox.y + bbox.h + floor(bbox.h * 0.2)::INT) AS y2 FROM face_embeddings WHERE bbox IS NOT NULL""")
 def face_boxes(spark, d):
     b = rules.padded_box(F.col("bbox.x"), F.col("bbox.y"), F.col("bbox.w"), F.col("bbox.h"), F.lit(4000), F.lit(3000), 0.2)
-    return table(spark, d, "face_embeddings").where("bbox IS NOT NULL").select("id", b.alias("b")).select("id", ((F.col("b.x2") - F.col("b.x1")) * (F.col("b.y2") - F.col("b.y1"))).cast("long").alias("n"))
+    return table(spark, d, "face_embeddings").where("bbox IS NOT NULL").select("id", b.alias("b")).select("id", "b.*")
 
 
 _SCENE = "CASE " + " ".join("WHEN " + " OR ".join(f"k BETWEEN {a} AND {b}" for a, b in rs) + f" THEN '{c}'" for c, rs in reversed(SCENE_CLASSES)) + " END"
@@ -204,7 +240,11 @@ def face_top1_match(spark, d):
     return m.join(named, "known_id").select("id", "person_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("face_leader_clusters")
+@query("face_leader_clusters", f"""WITH RECURSIVE u AS (SELECT id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY id) AS k FROM face_embeddings WHERE person_id IS NULL AND {_OK}),
+r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS heads, NULL::BIGINT AS id, NULL::BIGINT AS leader
+UNION ALL SELECT u.k, CASE WHEN h.leader IS NULL THEN list_append(r.heads, u.id) ELSE r.heads END, u.id, coalesce(h.leader, u.id) FROM r JOIN u ON u.k = r.k + 1
+LEFT JOIN LATERAL (SELECT min(w.id) AS leader FROM u w WHERE list_contains(r.heads, w.id) AND round(list_cosine_similarity(u.v, w.v), 9) >= 0.5) h ON true)
+SELECT leader AS leader_id, count(*) AS faces FROM (SELECT leader FROM r WHERE k > 0 UNION ALL SELECT id FROM face_embeddings WHERE person_id IS NULL AND ({_OK}) IS NOT TRUE) GROUP BY 1""")
 def face_leader_clusters(spark, d):
     """Greedy leader clusters of the faces of no person, largest first."""
     v = table(spark, d, "face_embeddings").where("person_id IS NULL").select("id", F.col("embedding").alias("v"))

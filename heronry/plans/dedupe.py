@@ -8,6 +8,8 @@ from heronry.functions.hashes import hamming, hash_hex
 from heronry.operators import dedupe as ops
 from heronry.operators.hamming import hamming_pairs
 from heronry.session import Scratch
+from heronry.functions.paths import path_key
+from heronry.plans.sql import path_key as sql_key
 from heronry.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -23,15 +25,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-_FP = """
-WITH RECURSIVE s AS (SELECT *, regexp_extract(lower(trim(hash)), '^(?:0x)?([0-9a-f]{1,16})$', 1) AS x FROM image_info),
+_FP = f"""
+WITH RECURSIVE s AS (SELECT {sql_key('path')} AS path, resolution, scanned_at, info_id, regexp_extract(lower(trim(hash)), '^(?:0x)?([0-9a-f]{{1,16}})$', 1) AS x FROM image_info),
 hs AS (SELECT path, lpad(x, 16, '0') AS hash, ('0x' || x)::UBIGINT AS h FROM s WHERE x <> '' AND ltrim(x, '0') <> ''
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC NULLS LAST, info_id DESC) = 1),
 rs AS (SELECT path, resolution FROM s WHERE resolution > 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC NULLS LAST, info_id DESC) = 1),
-fp AS (SELECT p.path, hs.h, hs.hash, rs.resolution FROM (SELECT DISTINCT path FROM image_info) p LEFT JOIN hs USING (path) LEFT JOIN rs USING (path))"""
-_GROUPS = _FP + f""",
+fp AS (SELECT p.path, hs.h, hs.hash, rs.resolution FROM (SELECT DISTINCT path FROM s WHERE path IS NOT NULL) p LEFT JOIN hs USING (path) LEFT JOIN rs USING (path))"""
+
+
+def _groups_sql(threshold: int) -> str:
+    return _FP + f""",
 u AS (SELECT DISTINCT h FROM fp WHERE h IS NOT NULL),
-e AS (SELECT a.h AS a, b.h AS b FROM u a JOIN u b ON bit_count(xor(a.h, b.h)) <= {THRESHOLD}),
+e AS (SELECT a.h AS a, b.h AS b FROM u a JOIN u b ON bit_count(xor(a.h, b.h)) <= {threshold}),
 r AS (SELECT h AS v, h AS w FROM u UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.w),
 c AS (SELECT v, min(w) AS c FROM r GROUP BY v),
 m AS (SELECT c.c, fp.path, fp.hash, fp.resolution FROM fp JOIN c ON c.v = fp.h),
@@ -40,13 +45,20 @@ g AS (SELECT min(path) OVER (PARTITION BY c) AS group_id, path, hash, resolution
 """
 
 
+_GROUPS = _groups_sql(THRESHOLD)
+
+
 def _prints(spark, d):
     return ops.fingerprints(table(spark, d, "image_info"))
 
 
-def _groups(spark, d):
+def _groups(spark, d, threshold: int = THRESHOLD):
     scratch = Scratch(spark, "dup")
-    return scratch.save(ops.duplicate_groups(_prints(spark, d), THRESHOLD, scratch), "groups")
+    return scratch.save(ops.duplicate_groups(_prints(spark, d), threshold, scratch), "groups")
+
+
+def _chosen(spark, d, share: str):
+    return ops.same_files(table(spark, d, "image_info").where(share))
 
 
 @query("dup_fingerprints", _FP + "SELECT path, hash, resolution FROM fp")
@@ -81,7 +93,7 @@ FROM (SELECT count(*) AS scanned, count(h) AS hashed FROM fp) n,
 (SELECT count(DISTINCT group_id) AS groups, count(*) FILTER (NOT is_best) AS duplicates, coalesce(sum(f.size_bytes) FILTER (NOT is_best), 0)::BIGINT AS reclaimable_bytes, count(*) AS grouped
  FROM k LEFT JOIN media_files f USING (path)) q""")
 def dup_report(spark, d):
-    return ops.report(_groups(spark, d), table(spark, d, "media_files").select("path", "size_bytes"), _prints(spark, d))
+    return ops.report(_groups(spark, d), table(spark, d, "media_files").select(path_key("path").alias("path"), "size_bytes"), _prints(spark, d))
 
 
 @query("dup_top_groups", _GROUPS + """, t AS (SELECT DISTINCT group_id, group_size FROM g WHERE group_size > 1 ORDER BY group_id LIMIT 10)
@@ -91,25 +103,25 @@ def dup_top_groups(spark, d):
 
 
 @query("dup_keep_plan", _GROUPS + """, l AS (SELECT group_id, path AS src, regexp_extract(path, '([^/]*)$', 1) AS name FROM g WHERE group_size > 1 AND NOT is_best),
-n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY src) - 1 AS k, regexp_extract(name, '.(\\.[^.]*)$', 1) AS ext FROM l)
-SELECT 'move' AS action, src, '/duplicates/' || CASE WHEN k = 0 THEN name ELSE left(name, len(name) - len(ext)) || '_' || k || ext END AS dst, group_id FROM n""")
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY src) - 1 AS k, regexp_extract(name, '.(\\.[^.]*)$', 1) AS ext FROM l),
+own AS (SELECT DISTINCT name FROM l), q AS (SELECT *, left(name, len(name) - len(ext)) AS stem FROM n),
+y AS (SELECT q.src, q.k, i, row_number() OVER (PARTITION BY q.src ORDER BY i) AS nth FROM q, range(1, 2000) t(i) WHERE q.k > 0 AND NOT EXISTS (SELECT 1 FROM own o WHERE o.name = q.stem || '_' || i || q.ext))
+SELECT 'move' AS action, q.src, '/duplicates/' || CASE WHEN q.k = 0 THEN name ELSE stem || '_' || y.i || ext END AS dst, group_id FROM q LEFT JOIN y ON y.src = q.src AND y.nth = q.k""")
 def dup_keep_plan(spark, d):
     return ops.keep_plan(_groups(spark, d))
 
 
-@query("dup_best_lock", _GROUPS + """, chosen AS (SELECT path FROM image_info WHERE info_id % 3 = 0 GROUP BY path), k AS (SELECT * FROM g WHERE group_size > 1),
+@query("dup_best_lock", _GROUPS + """, chosen AS (SELECT DISTINCT path FROM s WHERE info_id % 3 = 0 AND path IS NOT NULL), k AS (SELECT * FROM g WHERE group_size > 1),
 v AS (SELECT path, CASE WHEN k.is_best IS NULL THEN 'unknown' WHEN k.is_best THEN 'locked' ELSE 'trash' END AS verdict FROM chosen LEFT JOIN k USING (path))
 SELECT path, verdict, CASE WHEN verdict = 'trash' THEN '.trash/20250101_' || replace(ltrim(path, '/'), '/', '__') END AS dst FROM v""")
 def dup_best_lock(spark, d):
-    chosen = table(spark, d, "image_info").where("info_id % 3 = 0").select("path")
-    return ops.delete_selected(_groups(spark, d), chosen, stamp=F.lit("20250101"))
+    return ops.delete_selected(_groups(spark, d), _chosen(spark, d, "info_id % 3 = 0"), stamp=F.lit("20250101"))
 
 
-@query("dup_refresh", _GROUPS + """, l AS (SELECT group_id, path, is_best, count(*) OVER (PARTITION BY group_id) AS group_size FROM g WHERE group_size > 1 AND path NOT IN (SELECT path FROM image_info WHERE info_id % 4 = 0))
+@query("dup_refresh", _GROUPS + """, l AS (SELECT group_id, path, is_best, count(*) OVER (PARTITION BY group_id) AS group_size FROM g WHERE group_size > 1 AND path NOT IN (SELECT path FROM s WHERE info_id % 4 = 0 AND path IS NOT NULL))
 SELECT group_id, path, is_best, group_size FROM l WHERE group_size > 1""")
 def dup_refresh(spark, d):
-    gone = table(spark, d, "image_info").where("info_id % 4 = 0").select("path")
-    return ops.without(_groups(spark, d), gone).select("group_id", "path", "is_best", "group_size")
+    return ops.without(_groups(spark, d), _chosen(spark, d, "info_id % 4 = 0")).select("group_id", "path", "is_best", "group_size")
 
 
 @query("dest_aware_skip", _GROUPS + """, k AS (SELECT *, path LIKE '/vault/archive/%' AS there FROM g WHERE group_size > 1), w AS (SELECT *, bool_or(there) OVER (PARTITION BY group_id) AS has FROM k)
@@ -118,14 +130,37 @@ def dest_aware_skip(spark, d):
     return ops.destination_skips(_groups(spark, d), F.startswith("path", F.lit("/vault/archive/")))
 
 
-@query("dup_listed_best_first", """SELECT group_id, list(p ORDER BY p <> best_path, lower(p), p) AS paths FROM (SELECT DISTINCT group_id, best_path, unnest(paths) AS p FROM duplicate_groups WHERE best_path IS NOT NULL) GROUP BY group_id""")
+@query("dup_listed_best_first", f"""WITH m AS (SELECT DISTINCT group_id, {sql_key('best_path')} AS b, {sql_key('p')} AS p FROM (SELECT group_id, best_path, unnest(paths) AS p FROM duplicate_groups WHERE best_path IS NOT NULL))
+SELECT group_id, list(p ORDER BY p IS DISTINCT FROM b, lower(p), p) AS paths FROM m WHERE p IS NOT NULL GROUP BY group_id""")
 def dup_listed_best_first(spark, d):
     """Members of stored groups, the best first, then by name."""
-    m = table(spark, d, "duplicate_groups").where("best_path IS NOT NULL").select("group_id", "best_path", F.explode("paths").alias("p")).distinct()
-    s = F.struct((F.col("p") != F.col("best_path")).alias("rest"), F.lower("p").alias("l"), "p")
+    m = table(spark, d, "duplicate_groups").where("best_path IS NOT NULL").select("group_id", path_key("best_path").alias("b"), F.explode("paths").alias("p"))
+    m = m.select("group_id", "b", path_key("p").alias("p")).where("p IS NOT NULL").distinct()
+    s = F.struct((~F.col("p").eqNullSafe(F.col("b"))).alias("rest"), F.lower("p").alias("l"), "p")
     return m.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["p"]).alias("paths"))
 
 
+for _t in (10, 15):  # the default threshold and the loose one
+    QUERIES[f"dup_hamming_groups_{_t}"] = lambda spark, d, t=_t: ops.hex_of(_groups(spark, d, t))
+    SQL[f"dup_hamming_groups_{_t}"] = _groups_sql(_t) + "SELECT group_id, path, hash, resolution, is_best, group_size FROM g WHERE group_size > 1"
+
+
+@query("dup_representatives", _GROUPS + "SELECT group_id, arg_min(hash, path) AS hash FROM g WHERE group_size > 1 GROUP BY 1")
+def dup_representatives(spark, d):
+    """The hash that stands for each group."""
+    return ops.hex_of(ops.representatives(_groups(spark, d)))
+
+
+@query("dup_source_and_destination", _FP + f""", b AS (SELECT path, h, resolution, path LIKE '/vault/archive/%' AS is_dest FROM fp), l AS (SELECT DISTINCT {sql_key('p')} AS path FROM (SELECT unnest(paths) AS p FROM duplicate_groups)),
+t AS (SELECT path, h, resolution, false AS is_dest FROM fp UNION ALL SELECT path, h, resolution, true FROM fp WHERE path IN (SELECT path FROM l WHERE path IS NOT NULL))
+SELECT path, bool_or(is_dest) AS is_dest, any_value(resolution) AS resolution FROM t GROUP BY path""")
+def dup_source_and_destination(spark, d):
+    """All scanned files as a source and those that stored groups list as a destination, in one table."""
+    p = _prints(spark, d)
+    listed = ops.same_files(table(spark, d, "duplicate_groups").select(F.explode("paths").alias("path")))
+    return ops.tagged_union(p, p.join(listed, "path", "left_semi")).select("path", "is_dest", "resolution")
+
+
 @query("vector_sign_groups", """
 WITH RECURSIVE b AS (SELECT vec_id, label, list_sort(embedding)[33] AS cut, embedding FROM embeddings),
 x AS (SELECT vec_id, label, list_aggregate([CASE WHEN embedding[i::INT] > cut THEN '1' ELSE '0' END FOR i IN range(1, 65)], 'string_agg', '') AS bits FROM b),

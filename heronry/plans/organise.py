@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from heronry.functions.constants import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from heronry.functions.naming import base_of_copy, copy_suffix, file_type, folder_key, human_size, ignored, inside, mime_type, remote_path, trash_name
 from heronry.functions.paths import basename, extension, stem
+from heronry.functions.paths import path_key
 from heronry.operators import media as media_ops
 from heronry.operators import organise as ops
+from heronry.plans.sql import path_key as sql_key
 from heronry.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -23,6 +25,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+# Fixed values, as the operators have them, without case.
 _PATTERNS = [r"\s*\((\d+)\)$", r"\s*\(copy\)$", r"\s*-\s*copy(\d*)$", r"\s+copy(\d*)$", r"[-_]copy(\d*)$", r"[-_](\d+)$", r"\s+(\d+)$"]
 _BASE = "CASE " + " ".join(f"WHEN regexp_matches(stem, '{p}', 'i') THEN regexp_replace(stem, '{p}', '', 'i')" for p in _PATTERNS) + " ELSE stem END"
 _COPIED = "(" + " OR ".join(f"regexp_matches(stem, '{p}', 'i')" for p in _PATTERNS) + ")"
@@ -51,7 +54,7 @@ def name_suffix_kinds(spark, d):
     return table(spark, d, "media_files").select(copy_suffix(stem(basename(F.col("path")))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_SKIPS = "(SELECT DISTINCT p AS path FROM (SELECT unnest(paths) AS p, best_path FROM duplicate_groups WHERE best_path IS NOT NULL) WHERE p <> best_path)"
+_SKIPS = f"(SELECT DISTINCT p AS path FROM (SELECT {sql_key('p')} AS p, {sql_key('best_path')} AS b FROM (SELECT unnest(paths) AS p, best_path FROM duplicate_groups WHERE best_path IS NOT NULL)) WHERE p <> b)"
 _PLAN = f"""WITH {_NAMES},
 p AS (SELECT d.*, strftime(created_at, '%Y') || '/' || {_MONTH}[month(created_at)] AS folder, {_KIND('lower(ext)')} AS kind, k.path IS NOT NULL AS perceptual FROM d LEFT JOIN {_SKIPS} k ON k.path = d.path),
 e AS (SELECT *, CASE WHEN rank > 1 THEN 'name_duplicate' WHEN perceptual THEN 'perceptual_duplicate' WHEN kind = 'other' THEN 'not_media' WHEN folder IS NULL THEN 'no_date' END AS early FROM p),
@@ -60,8 +63,9 @@ o AS (SELECT *, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY folder
 
 
 def _plan(spark, d):
-    g = table(spark, d, "duplicate_groups").where("best_path IS NOT NULL").select(F.explode("paths").alias("path"), "best_path")
-    return ops.organise_plan(table(spark, d, "media_files"), g.where("path <> best_path").select("path"))
+    g = table(spark, d, "duplicate_groups").where("best_path IS NOT NULL").select(F.explode("paths").alias("path"), path_key("best_path").alias("best"))
+    files = table(spark, d, "media_files").select(path_key("path").alias("path"), "created_at")
+    return ops.organise_plan(files, g.select(path_key("path").alias("path"), "best").where("path <> best").select("path"))
 
 
 @query("organise_plan_reasons", _PLAN + """SELECT path, CASE WHEN reason = 'success' THEN 'success' ELSE 'skipped' END AS status, reason,
@@ -98,8 +102,14 @@ def _tagged(spark, d):
     return table(spark, d, "media_tags").where("confidence >= 0.5").select("file_id", "category_id").distinct().join(f, "file_id").join(c, "category_id")
 
 
-@query("apply_classification", f"""WITH {_TAGGED} SELECT CASE WHEN rnk = 1 THEN 'copy' ELSE 'symlink' END AS action, path AS src,
-folder || '/' || CASE WHEN k = 0 THEN name ELSE left(name, len(name) - len(ext)) || '_' || k || ext END AS dst FROM n""")
+@query("apply_classification", f"""WITH {_TAGGED},
+own AS (SELECT DISTINCT folder, name FROM w WHERE rnk = 1), f AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY path) - 1 AS j FROM w WHERE rnk = 1),
+x AS (SELECT f.*, regexp_extract(name, '.(\\.[^.]*)$', 1) AS ext, left(name, len(name) - len(regexp_extract(name, '.(\\.[^.]*)$', 1))) AS stem FROM f),
+y AS (SELECT x.path, i, row_number() OVER (PARTITION BY x.path ORDER BY i) AS nth, x.j FROM x, range(1, 2000) t(i) WHERE x.j > 0 AND NOT EXISTS (SELECT 1 FROM own o WHERE o.folder = x.folder AND o.name = x.stem || '_' || i || x.ext)),
+z AS (SELECT x.path, x.folder, CASE WHEN x.j = 0 THEN x.name ELSE x.stem || '_' || y.i || x.ext END AS fname FROM x LEFT JOIN y ON y.path = x.path AND y.nth = x.j),
+b AS (SELECT w.folder || '/' || z.fname AS place, z.folder || '/' || z.fname AS spot, w.path FROM w JOIN z ON z.path = w.path WHERE w.rnk > 1)
+SELECT 1 AS step, 'copy' AS action, path AS src, folder || '/' || fname AS dst FROM z
+UNION ALL SELECT 2, 'symlink', arg_min(spot, path), place FROM b WHERE place NOT IN (SELECT folder || '/' || fname FROM z) GROUP BY place""")
 def apply_classification(spark, d):
     return ops.category_plan(_tagged(spark, d), "yyyy_mm_category")
 
@@ -114,10 +124,13 @@ def path_schemes(spark, d):
                                   (("yyyy_mm_category", "by_date"), ("category_yyyy_mm", "by_category"), ("flat_tags", "flat"))])
 
 
-@query("collision_suffix", """WITH n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS k FROM part) SELECT p_partkey, CASE WHEN k = 0 THEN p_name || '.jpg' ELSE p_name || '_' || k || '.jpg' END AS free_name FROM n""")
+@query("collision_suffix", """WITH n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS k FROM part)
+SELECT p_partkey, CASE WHEN k = 0 THEN p_name || '_3.jpg' ELSE p_name || '_3_' || (CASE WHEN k < 2 THEN k ELSE k + 1 END) || '.jpg' END AS free_name FROM n""")
 def collision_suffix(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.lit("/t").alias("folder"), F.concat("p_name", F.lit(".jpg")).alias("name"))
-    return ops.with_free_names(p, "folder", "name", "p_partkey").select("p_partkey", "free_name")
+    """Parts as files of one name each; the second number of every name is in use already."""
+    p = table(spark, d, "part").select("p_partkey", F.lit("/t").alias("folder"), F.concat("p_name", F.lit("_3.jpg")).alias("name"))
+    taken = table(spark, d, "part").select(F.lit("/t").alias("folder"), F.concat("p_name", F.lit("_3_2.jpg")).alias("name")).distinct()
+    return ops.with_free_names(p, "folder", "name", "p_partkey", taken).select("p_partkey", "free_name")
 
 
 @query("file_types", f"SELECT {_KIND('lower(extension)')} AS file_type, count(*) AS n, sum(greatest(size_bytes, 0))::BIGINT AS bytes FROM media_files GROUP BY 1")
@@ -141,15 +154,15 @@ def human_sizes(spark, d):
     return s.select("extension", human_size(F.col("n")).alias("size"))
 
 
-@query("mime_types", "SELECT CASE lower(extension) WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' WHEN '.gif' THEN 'image/gif' WHEN '.bmp' THEN 'image/bmp' WHEN '.tiff' THEN 'image/tiff' WHEN '.heic' THEN 'image/heic' WHEN '.mp4' THEN 'video/mp4' WHEN '.mov' THEN 'video/quicktime' WHEN '.avi' THEN 'video/x-msvideo' WHEN '.mkv' THEN 'video/x-matroska' WHEN '.webm' THEN 'video/webm' ELSE 'application/octet-stream' END AS mime, count(*) AS n FROM media_files GROUP BY 1")
+@query("mime_types", "SELECT CASE lower(extension) WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' WHEN '.gif' THEN 'image/gif' WHEN '.bmp' THEN 'image/bmp' WHEN '.webp' THEN 'image/webp' WHEN '.raf' THEN 'image/x-fuji-raf' WHEN '.wmv' THEN 'video/x-ms-wmv' WHEN '.flv' THEN 'video/x-flv' WHEN '.tiff' THEN 'image/tiff' WHEN '.heic' THEN 'image/heic' WHEN '.mp4' THEN 'video/mp4' WHEN '.mov' THEN 'video/quicktime' WHEN '.avi' THEN 'video/x-msvideo' WHEN '.mkv' THEN 'video/x-matroska' WHEN '.webm' THEN 'video/webm' ELSE 'application/octet-stream' END AS mime, count(*) AS n FROM media_files GROUP BY 1")
 def mime_types(spark, d):
     return table(spark, d, "media_files").groupBy(mime_type(F.col("extension")).alias("mime")).agg(F.count("*").alias("n"))
 
 
-@query("remote_paths", "SELECT path, CASE WHEN starts_with(path, '/vault/photos/') THEN substr(path, 15) ELSE regexp_extract(path, '([^/]*)$', 1) END AS mirror, regexp_extract(path, '([^/]*)$', 1) AS flat FROM media_files")
+@query("remote_paths", "SELECT path, CASE WHEN starts_with(path, '/vault/photos/') THEN substr(path, 15) ELSE regexp_extract(path, '([^/]*)$', 1) END AS mirror, regexp_extract(path, '([^/]*)$', 1) AS flat, 'backup/2024/' || regexp_extract(path, '([^/]*)$', 1) AS below FROM media_files")
 def remote_paths(spark, d):
     p = F.col("path")
-    return table(spark, d, "media_files").select("path", remote_path(p, "/vault/photos").alias("mirror"), remote_path(p, "", flat=True).alias("flat"))
+    return table(spark, d, "media_files").select("path", remote_path(p, "/vault/photos").alias("mirror"), remote_path(p, "", flat=True).alias("flat"), remote_path(p, "", flat=True, prefix="/backup/2024/").alias("below"))
 
 
 @query("trash_names", "SELECT path, '20250101_120000_' || replace(ltrim(path, '/'), '/', '__') AS trash FROM media_files WHERE path = '/vault' OR starts_with(path, '/vault/')")
@@ -158,16 +171,23 @@ def trash_names(spark, d):
     return f.select("path", trash_name(F.col("path"), F.lit("20250101_120000")).alias("trash"))
 
 
-@query("watch_ignore", "SELECT file_path FROM watcher_events WHERE file_path IS NOT NULL AND NOT (starts_with(n, '.') OR n IN ('.DS_Store', 'Thumbs.db') OR regexp_matches(n, '(\\.tmp|\\.part|\\.crdownload)$') OR regexp_matches(n, '^thumb_.*$') OR regexp_matches(n, '^.*[_-]edit\\..*$') OR regexp_matches(n, '^P[0-4].*\\.jp.g$'))".replace("FROM watcher_events", "FROM (SELECT file_path, regexp_extract(file_path, '([^/]*)$', 1) AS n FROM watcher_events WHERE NOT regexp_matches(file_path, '\\s$'))"))
+@query("watch_ignore", f"""SELECT id, p AS path FROM (SELECT id, p, regexp_extract(p, '([^/]*)$', 1) AS n FROM (SELECT id, {sql_key('file_path')} AS p FROM watcher_events)) WHERE p IS NOT NULL
+AND NOT (starts_with(n, '.') OR n IN ('.DS_Store', 'Thumbs.db') OR regexp_matches(n, '(\\.tmp|\\.part|\\.crdownload)$') OR regexp_matches(n, '^thumb_.*$') OR regexp_matches(n, '^.*[_-]edit\\..*$') OR regexp_matches(n, '^P[0-4].*\\.jp.g$'))""")
 def watch_ignore(spark, d):
-    return watch_ignore_all(spark, d).where("NOT file_path RLIKE '\\\\s$'")  # as its SQL has it
-
-
-@query("watch_ignore_all")
-def watch_ignore_all(spark, d):
-    """Every event whose file a watcher does not pass over; white space at the end of a name is part of it."""
-    e = table(spark, d, "watcher_events").where("file_path IS NOT NULL")
-    return e.where(~ignored(basename(F.col("file_path")), ["thumb_*", "*[_-]edit.*", "P[0-4]*.jp?g"])).select("file_path")
+    """Every event whose file a watcher does not pass over, by the plain spelling of its path."""
+    e = table(spark, d, "watcher_events").select("id", path_key("file_path").alias("path")).where("path IS NOT NULL")
+    return e.where(~ignored(basename(F.col("path")), ["thumb_*", "*[_-]edit.*", "P[0-4]*.jp?g"]))
+
+
+@query("organise_by_capture_date", """WITH m AS (SELECT id, created_at, CASE WHEN id % 3 = 0 THEN strftime(created_at - INTERVAL 400 DAY, '%Y:%m:%d %H:%M:%S') WHEN id % 3 = 1 THEN 'broken' END AS exif,
+CASE WHEN id % 5 = 0 THEN created_at - INTERVAL 40 DAY END AS video FROM media_files)
+SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN date_trunc('second', created_at - INTERVAL 400 DAY) END, video, created_at) AS taken_at FROM m""")
+def organise_by_capture_date(spark, d):
+    """Capture dates from made-up EXIF texts and video tags, else the file's own date."""
+    c = F.col("created_at").cast("timestamp_ntz")
+    exif = F.when(F.col("id") % 3 == 0, F.date_format(c - F.expr("INTERVAL 400 DAYS"), "yyyy:MM:dd HH:mm:ss")).when(F.col("id") % 3 == 1, "broken")
+    video = F.when(F.col("id") % 5 == 0, c - F.expr("INTERVAL 40 DAYS"))
+    return table(spark, d, "media_files").select("id", ops.capture_time(exif, video, c).alias("taken_at"))
 
 
 _COMPRESS = "(SELECT lower(extension) AS ext, size_bytes AS size_before, CASE WHEN id % 10 = 0 THEN NULL ELSE size_bytes * (id % 5 + 3) // 8 END AS size_after FROM media_files WHERE size_bytes > 0)"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from heronry.operators import journal as journal_ops
 from heronry.operators import sync as ops
 from heronry.operators import watch as watch_ops
+from heronry.functions.paths import path_key
+from heronry.plans.sql import path_key as sql_key
 from heronry.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -92,14 +94,10 @@ def sync_latest_run_per_account(spark, d):
     return latest_by(_runs(spark, d), ["account_id"], [F.col("id").desc()]).select("account_id", "id", "status")
 
 
-_LAST = "(SELECT max(o_orderkey) FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders))"
-
-
-@query("sync_undo_plan", f"""WITH {_RUNS}, {_ROWS} SELECT l.id, l.remote_path, 'delete' AS action FROM l JOIN r ON r.id = l.sync_run_id WHERE l.status = 'uploaded' AND r.is_last AND r.status IN ('completed', 'partial') AND r.id = {_LAST}""")
+@query("sync_undo_plan", f"""WITH {_RUNS}, {_ROWS} SELECT l.id, l.remote_path, 'delete' AS action FROM l JOIN r ON r.id = l.sync_run_id WHERE l.status = 'uploaded' AND r.is_last AND r.status IN ('completed', 'partial')""")
 def sync_undo_plan(spark, d):
-    runs = _runs(spark, d)
-    run = runs.groupBy("account_id").agg(F.max("id").alias("id")).orderBy("account_id").limit(1).first()
-    return ops.undo_plan(runs, _rows(spark, d), run["id"] if run else None)
+    """What undoing every account's last run would delete."""
+    return ops.undo_plan(_runs(spark, d), _rows(spark, d))
 
 
 # Events as a journal: a user's events are a session.
@@ -179,7 +177,8 @@ def watch_batches(spark, d):
     return watch_ops.batch_summary(b, ["watcher_config_id"], "detected_at")
 
 
-@query("watch_unprocessed", """SELECT path AS file_path FROM media_files WHERE path NOT IN (SELECT file_path FROM watcher_events WHERE file_path IS NOT NULL AND lower(trim(status)) IN ('completed', 'ignored', 'failed'))""")
+@query("watch_unprocessed", f"""WITH e AS (SELECT {sql_key('file_path')} AS k, lower(trim(status)) AS s FROM watcher_events)
+SELECT path AS file_path FROM media_files WHERE path IS NOT NULL AND path NOT IN (SELECT k FROM e WHERE k IS NOT NULL AND s IN ('completed', 'ignored', 'failed'))""")
 def watch_unprocessed(spark, d):
     return watch_ops.unprocessed(table(spark, d, "media_files").select(F.col("path").alias("file_path")), table(spark, d, "watcher_events"))
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronry.session import Scratch
+
 
 def _act(action: str, src: str, dst: str | None) -> str | None:
     """None, or what went wrong."""
@@ -32,6 +34,15 @@ def _act(action: str, src: str, dst: str | None) -> str | None:
         return str(e)
 
 
+def carry_out_in_steps(plan: DataFrame, session_id: str, scratch: Scratch) -> DataFrame:
+    """carry_out of a plan (step, action, src, dst), one step after the other: links are made when their files are in place."""
+    out = None
+    for (step,) in sorted(plan.select("step").distinct().collect()):
+        done = scratch.save(carry_out(plan.where(F.col("step") == step), session_id).withColumn("seq", F.col("seq") + (step << 48)), f"step{step}")
+        out = done if out is None else out.union(done)
+    return out if out is not None else carry_out(plan, session_id)
+
+
 def carry_out(plan: DataFrame, session_id: str) -> DataFrame:
     """(session_id, seq, action, src, dst, ts, error) after acting on each row of a plan (action, src, dst) on the executors,
     which must share the folders. An action that fails is told and the rest goes on. Materialise the result once: acting is

@@ -74,17 +74,24 @@ def edge_density(spark: SparkSession, folder: str, size: int = 400, least: int =
 
 
 def journals(spark: SparkSession, folder: str) -> DataFrame:
-    """(session_id, seq, action, src, dst, ts) of journal files, each a JSON array; the file's name is the session.
-    Unreadable files give no rows."""
-    schema = "action string, src string, dst string, timestamp string, seq long"
-    j = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder)
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.json$", "")
-    j = j.select(name.alias("session_id"), F.coalesce("seq", F.monotonically_increasing_id()).alias("seq"), "action", "src", "dst", F.try_to_timestamp("timestamp").alias("ts"))
-    return j.where("action IS NOT NULL")
+    """(session_id, seq, action, src, dst, ts) of a folder's journals: files that are a JSON array each, whose name is the
+    session, and the folders of write_journal(). Unreadable files give no rows."""
+    schema = "action string, src string, dst string, timestamp string, ts string, seq long, error string"
+    found = spark.createDataFrame([], f"session_id string, {schema}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    if any(n.endswith(".json") for n in names):
+        j = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*.json")
+        name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.json$", "")
+        found = found.unionByName(j.withColumn("session_id", name).withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id())))
+    if any(n.startswith("session_id=") for n in names):
+        found = found.unionByName(spark.read.schema(f"{schema}, session_id string").option("basePath", folder).json(f"{folder}/session_id=*"))
+    when = F.coalesce(F.try_to_timestamp("timestamp"), F.try_to_timestamp("ts"))
+    return found.where("action IS NOT NULL AND error IS NULL").select("session_id", "seq", "action", "src", "dst", when.alias("ts"))
 
 
 def write_journal(journal: DataFrame, folder: str) -> None:
-    """Append actions, one folder per session."""
+    """Append actions (session_id, seq, action, src, dst, ts, and error if they failed), one folder per session."""
     journal.write.mode("append").partitionBy("session_id").json(folder)
 
 

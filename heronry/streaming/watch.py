@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heronry.functions.constants import PENDING_SECONDS, SUPPRESSING_STATUSES
 from heronry.functions.naming import ignored
-from heronry.functions.paths import basename
+from heronry.functions.paths import basename, path_key
 
 POLLS = "config_id long, file_path string, poll_ts timestamp, size long, mtime long"
 _STATE = "first_at double, size long, mtime long, unchanged long, done boolean"
@@ -71,9 +71,9 @@ def gap_windows(stable: DataFrame, gap_seconds: int = 3, lateness: str = "10 sec
 
 
 def not_processed(found: DataFrame, events: DataFrame) -> DataFrame:
-    """Stream of found files without those a static event table says are done."""
-    done = events.where(F.lower(F.trim("status")).isin(SUPPRESSING_STATUSES)).select("file_path").distinct()
-    return found.join(done, "file_path", "left_anti")
+    """Stream of found files without those a static event table says are done, under whatever spelling."""
+    done = events.where(F.lower(F.trim("status")).isin(SUPPRESSING_STATUSES)).select(path_key("file_path").alias("_key")).distinct()
+    return found.withColumn("_key", path_key("file_path")).join(done, "_key", "left_anti").drop("_key")
 
 
 def run_pipeline(stable: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

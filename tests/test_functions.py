@@ -151,18 +151,3 @@ def test_ignored_white_space_at_end(spark):
     globs = ["thumb_*", "*[_-]edit.*", "P[0-4]*.jp?g"]
     names = [n + w for n in ("P1.jpeg", "P9.jpeg", "a-edit.png", "thumb_1", "x.jpg") for w in ("", " ", "\n", "\r\n", "\u2028", "\t\n")]
     assert column(spark, names, lambda c: naming.ignored(c, globs)) == [any(fnmatchcase(n, g) for g in globs) for n in names]
-
-
-def test_watch_ignore_all(spark, data):
-    """Every event with a path is judged, those that end in white space too."""
-    import pandas as pd
-
-    from heronry.plans.organise import watch_ignore_all
-
-    def passed(p):
-        n = p.rsplit("/", 1)[-1]
-        return n.startswith(".") or n in (".DS_Store", "Thumbs.db") or n.endswith((".tmp", ".part", ".crdownload")) or any(fnmatchcase(n, g) for g in ("thumb_*", "*[_-]edit.*", "P[0-4]*.jp?g"))
-
-    want = sorted(p for p in pd.read_parquet(f"{data}/watcher_events.parquet").file_path.dropna() if not passed(p))
-    assert any(p != p.rstrip() for p in want)
-    assert sorted(r[0] for r in watch_ignore_all(spark, data).collect()) == want

@@ -214,19 +214,66 @@ def test_compression(spark):
     assert rows(media.compression_statistics(f, ["k"])) == [("a", 2, 1, 200, 140, 60, 30.0), ("b", 1, 0, 0, 0, 0, 0.0)]
 
 
-def test_tags_insert_or_ignore_all(spark, data):
-    """Every row of media_tags is in the table, is one of the new rows, or is passed over for its key."""
-    import pandas as pd
-
-    from heronry.plans.catalog import RUN, tags_insert_or_ignore_all
-
-    t = pd.read_parquet(f"{data}/media_tags.parquet")[["file_id", "category_id", "run_id"]]
-    t = [tuple(None if pd.isna(x) else x for x in r) for r in t.itertuples(index=False)]
-    out = [r for r in t if r[2] == RUN]
-    have = set(out)
-    for r in t:
-        if None in r or r not in have:
-            out.append(r)
-            have.add(r)
-    part = lambda none: [r[0] for r in out if (r[2] is None) == none]
-    assert rows(tags_insert_or_ignore_all(spark, data)) == [(none, len(part(none)), len(set(part(none)) - {None})) for none in (False, True)]
+def test_one_file_under_two_spellings(spark):
+    """A file scanned under several spellings is no duplicate of itself, and the best file is never moved."""
+    scans = [(1, "/a/x.jpg", "ff", 10, 1), (2, "\\a\\x.jpg", "ff", 90, 2), (3, "/a/./y.jpg", "fe", 5, 1), (4, "file:///a/z%20z.jpg", "ff00ff", 1, 1)]
+    df = spark.createDataFrame(scans, "info_id long, path string, hash string, resolution long, t int").withColumn("scanned_at", F.timestamp_seconds("t"))
+    g = dedupe.duplicate_groups(dedupe.fingerprints(df), 5)
+    assert rows(g.select("path", "is_best", "group_size")) == [("/a/x.jpg", True, 2), ("/a/y.jpg", False, 2)]
+    assert rows(dedupe.keep_plan(g).select("src", "dst")) == [("/a/y.jpg", "/duplicates/y.jpg")]
+    assert rows(dedupe.representatives(g)) == [("/a/x.jpg", 255)]
+    found = spark.createDataFrame([("/a/x.jpg",), ("/b",)], "file_path string")
+    done = spark.createDataFrame([(" /a//x.jpg ", "completed"), ("/b", "running")], "file_path string, status string")
+    assert rows(watch.unprocessed(found, done)) == [("/b",)]
+
+
+def test_names_are_free(spark):
+    """No two rows and no file that is there get one name, whatever the names look like."""
+    names = ["a.jpg", "a.jpg", "a_1.jpg", "a.jpg", "a_1.jpg", "b", "b", "c_2.x", "c.x", "c.x", "d.jpg"]
+    df = spark.createDataFrame([("/t", n, i) for i, n in enumerate(names)], "folder string, name string, i int")
+    got = dict(rows(organise.with_free_names(df, "folder", "name", "i").select("i", "free_name")))
+    assert [got[i] for i in range(11)] == ["a.jpg", "a_2.jpg", "a_1.jpg", "a_3.jpg", "a_1_1.jpg", "b", "b_1", "c_2.x", "c.x", "c_1.x", "d.jpg"]
+    taken = spark.createDataFrame([("/t", "a_2.jpg"), ("/t", "d.jpg"), ("/t", "d_1.jpg")], "folder string, name string")
+    got = [r["free_name"] for r in organise.with_free_names(df, "folder", "name", "i", taken).collect()]
+    assert len(set(got)) == len(got) and not {"a_2.jpg", "d.jpg", "d_1.jpg"} & set(got) and "d_2.jpg" in got
+
+
+def test_ranks_of_a_hot_key(spark):
+    r = random.Random(2)
+    data = [(("hot" if i % 3 == 0 else f"k{i % 7}"), r.random(), i) for i in range(300)] + [(None, 0.5, 900), (None, 0.1, 901)]
+    got = rows(organise.ranked(spark.createDataFrame(data, "k string, o double, i int"), ["k"], ["o", "i"]).select("i", "rank"))
+    want = sorted((i, 1 + sum(k2 == k and (o2, i2) < (o, i) for k2, o2, i2 in data)) for k, o, i in data)
+    assert got == want
+
+
+def test_links_to_where_the_file_lies(spark):
+    t = spark.createDataFrame([("/x/a.jpg", "one", "One", 1), ("/x/a.jpg", "two", "Two", 2), ("/y/a.jpg", "one", "One", 1), ("/y/a.jpg", "two", "Two", 2)], "path string, key string, label string, priority int")
+    p = organise.category_plan(t.withColumn("created_at", F.lit("2024-03-01").cast("timestamp_ntz")), "flat_tags", "move", "/s")
+    assert rows(p) == [(1, "move", "/x/a.jpg", "/s/One/a.jpg"), (1, "move", "/y/a.jpg", "/s/One/a_1.jpg"),
+                       (2, "symlink", "/s/One/a.jpg", "/s/Two/a.jpg"), (2, "symlink", "/s/One/a_1.jpg", "/s/Two/a_1.jpg")]
+
+
+def test_reviews_insert_or_ignore(spark):
+    tags = spark.createDataFrame([(1, 5, "r", 0.9, "x")], "file_id long, category_id int, run_id string, confidence double, source string")
+    queue = spark.createDataFrame([(10, 1, "r", False, None), (11, 2, "r", False, None), (12, 2, "r", False, None), (13, 3, "r", False, None), (14, 4, None, False, None)],
+                                  "id long, file_id long, run_id string, resolved boolean, resolved_category_id int")
+    decisions = spark.createDataFrame([(10, 5), (11, 6), (12, 6), (13, 99), (14, 6)], "id long, category_id int")
+    after, left = classify.resolve_review(tags, queue, decisions, spark.createDataFrame([(5,), (6,)], "id int"))
+    assert sorted(map(tuple, after.select("file_id", "category_id", "source").collect())) == [(1, 5, "x"), (2, 6, "manual"), (4, 6, "manual")]
+    assert rows(left.where("resolved").select("id")) == [(10,), (11,), (12,), (14,)]
+
+
+def test_merges_in_chains(spark):
+    people = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
+    f = spark.createDataFrame([(10 + i, i) for i in range(1, 8)], "id long, person_id long")
+    p, moved = faces.merge_people(people, f, spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 7), (7, 6)], "keep_id long, merge_id long"))
+    assert rows(p) == [(1,), (5,), (6,)] and rows(moved) == [(11, 1), (12, 1), (13, 1), (14, 5), (15, 5), (16, 6), (17, 6)]
+
+
+def test_pipeline_lets_videos_alone(spark):
+    files = spark.createDataFrame([(1, True), (2, False), (3, False)], "file_id long, is_video boolean")
+    more = spark.createDataFrame([(1, "pets", 0.9, "ml_scene", 3), (2, "pets", 0.7, "ml_scene", 3), (3, "pets", 0.3, "ml_scene", 3)], "file_id long, key string, confidence double, source string, stage int")
+    on = spark.createDataFrame([("videos",), ("pets",), ("night",)], "key string")
+    scored = files.select("file_id", F.when(F.col("file_id") == 2, 0.5).otherwise(0.0).alias("n"))
+    got = classify.pipeline(files, scored, {"night": (F.col("n"), "exif", 1)}, more, on, 0.6)
+    assert rows(got.select("file_id", "key", "verdict")) == [(1, "videos", "auto"), (2, "night", "review"), (2, "pets", "auto"), (3, "other", "auto"), (3, "pets", "review")]

@@ -52,3 +52,19 @@ def test_carry_out(spark, tmp_path):
     got = {(r["action"], r["src"][len(t):], bool(r["error"])) for r in actions.carry_out(plan, "s").collect()}
     assert got == {("move", "/a", False), ("copy", "/b", False), ("symlink", "/b", False), ("delete", "/c", False), ("move", "/gone", True), ("copy", "/b", True)}
     assert (tmp_path / "o" / "a").read_text() == "a" and not (tmp_path / "a").exists() and not (tmp_path / "c").exists() and (tmp_path / "o" / "l").is_symlink()
+
+
+def test_journal_round_trip(spark, tmp_path):
+    """What was carried out and written comes back with its session, beside journals that are arrays."""
+    from heronry.sources.files import journals, write_journal
+
+    rows_ = [("s1", 1, "move", "/a", "/b", None), ("s1", 2, "copy", "/c", "/d", None), ("s1", 3, "move", "/e", "/f", "exists"), ("s2", 1, "trash", "/g", "/h", None)]
+    j = spark.createDataFrame(rows_, "session_id string, seq long, action string, src string, dst string, error string").selectExpr("*", "timestamp'2024-01-01 10:00:00' AS ts")
+    at = str(tmp_path / "journal")
+    write_journal(j.where("session_id = 's1'"), at)
+    write_journal(j.where("session_id = 's2'"), at)
+    (tmp_path / "journal" / "old.json").write_text('[{"action": "move", "src": "/p", "dst": "/q", "timestamp": "2023-01-01T00:00:00"}]')
+    got = journals(spark, at)
+    assert sorted((r["session_id"], r["action"], r["src"], r["dst"]) for r in got.collect()) == [
+        ("old", "move", "/p", "/q"), ("s1", "copy", "/c", "/d"), ("s1", "move", "/a", "/b"), ("s2", "trash", "/g", "/h")]
+    assert got.where("ts IS NULL").count() == 0
