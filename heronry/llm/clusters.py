@@ -46,7 +46,7 @@ ROWS_PER_CELL = 4000
 ONE_TASK = 4000
 ROWS_PER_GROUP = 16_384
 ROWS_PER_BROADCAST = 16_384
-Z, PROBE = 1.25, 0.8
+Z, PROBE = 0.5, 0.8
 LITTLE = 0.01  # of the clusters: rounds that merge fewer leave the rest to the exact pass
 
 
@@ -253,11 +253,12 @@ def _merge(nodes: DataFrame, moves: DataFrame) -> DataFrame:
             .union(touched.select(F.col("rep").alias("id"), F.col("total").alias("n"), mean.alias("v"), F.lit(True).alias("fresh"))))
 
 
-def rounds(nodes: DataFrame, left: int, threshold: float, dim: int, scratch: Scratch, sure: bool, exact: bool = True) -> tuple[list[DataFrame], DataFrame]:
+def rounds(nodes: DataFrame, left: int | None, threshold: float, dim: int, scratch: Scratch, sure: bool, exact: bool = True) -> tuple[list[DataFrame], DataFrame]:
     """(moves (id, to), heads (id, n, v)) of nodes (id, n, v): mutual best pairs merged until none is left. ``sure``: all are
     compared with all from the start, else once a round by cells merges little."""
     moves, done, known, r = [], None, None, 0
     now = scratch.save(nodes.select("id", "n", "v", F.lit(True).alias("asks")), "nodes")
+    left = now.count() if left is None else left
     while left > 1:
         if sure:
             links, whole = compared(now, threshold, dim, scratch), True
@@ -308,13 +309,15 @@ def cluster(vectors: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, sc
 
     def units(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(unit(matrix(b.column(1), dim)))], names=["id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(unit(matrix(b.column(2), dim)))], names=["id", "n", "v"])
 
-    keyed = scratch.save(vectors.select("id", "v").mapInArrow(units, "id long, v array<float>").withColumn("a", F.xxhash64("v")).withColumn("b", F.hash("v")), "units")
+    # copies by two hashes of the vector: only ids and hashes are shuffled
+    keyed = scratch.save(vectors.select("id", F.xxhash64("v").alias("a"), F.hash("v").alias("b")), "keys")
     same = scratch.save(keyed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
-    alone = keyed.select("id", "v", "a", "b").join(same, ["a", "b"], "left").where("rep IS NULL OR rep = id")
-    nodes = scratch.save(alone.select("id", F.coalesce("n", F.lit(1)).cast("long").alias("n"), "v"), "nodes")
-    moves = [keyed.select("id", "a", "b").join(same, ["a", "b"]).where("rep <> id").select("id", F.col("rep").alias("to"))]
+    copied = F.xxhash64("v") == F.col("a"), F.hash("v") == F.col("b")
+    alone = vectors.select("id", "v").join(same, copied[0] & copied[1], "left").where("rep IS NULL OR rep = id")
+    nodes = scratch.save(alone.select("id", F.coalesce("n", F.lit(1)).cast("long").alias("n"), "v").mapInArrow(units, _NODE), "nodes")
+    moves = [keyed.join(same, ["a", "b"]).where("rep <> id").select("id", F.col("rep").alias("to"))]
     left = nodes.count()
     if left:
         links, _ = probed(nodes.withColumn("asks", F.lit(True)), left, 0, threshold, dim, joined=True)
@@ -332,8 +335,7 @@ def cluster(vectors: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, sc
             moves += far
             heads = heads.union(rest)
         if exact:
-            heads = scratch.save(heads, "heads")
-            far, heads = rounds(heads, heads.count(), threshold, dim, scratch, True)
+            far, heads = rounds(heads, None, threshold, dim, scratch, True)
             moves += far
     else:
         heads = nodes
