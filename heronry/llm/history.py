@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from heronry.functions.hashes import hamming
 from heronry.functions.paths import path_key
-from heronry.operators.hamming import block_keys
+from heronry.operators.hamming import agreeing, block_keys
 from heronry.session import BucketTable, Scratch
 from heronry.sources.tables import scans_in_force, table
 
@@ -34,8 +34,8 @@ _LEVELS = 5
 
 
 class BatchHistory:
-    """Accepted records by key. ``buckets`` and ``agree``, the blocks of a piece, are fixed when the history is made: two of
-    t + 2 blocks suit up to some ten million different hashes, three a thousand million. ``at`` is the type of batch times."""
+    """Accepted records by key. ``buckets`` and ``agree``, the blocks of a piece, are fixed when the history is made; agreeing()
+    tells how many blocks suit the number of different hashes that are expected. ``at`` is the type of batch times."""
 
     def __init__(self, scratch: Scratch, buckets: int | None = None, threshold: int = THRESHOLD, cap: int = CAP, agree: int = 2, at: str = "timestamp_ntz"):
         self.scratch, self.spark, self.threshold, self.cap, self.agree = scratch, scratch.spark, threshold, cap, agree
@@ -137,7 +137,8 @@ def p4_found(spark, folder: str, ranges: int = 3) -> DataFrame:
     scratch = Scratch(spark, "p4")
     events = scratch.save(batched_events(table(spark, folder, "watcher_events"), table(spark, folder, "image_info")), "events")
     cuts = events.agg(F.percentile_approx("batch_at", [i / ranges for i in range(1, ranges)])).first()[0] or []
-    history, found = BatchHistory(scratch), spark.createDataFrame([], "record_id long")
+    expected = events.agg(F.approx_count_distinct("h")).first()[0]
+    history, found = BatchHistory(scratch, agree=agreeing(THRESHOLD, expected)), spark.createDataFrame([], "record_id long")
     for i, low in enumerate([None, *sorted(set(cuts))]):
         high = sorted(set(cuts))[i] if i < len(set(cuts)) else None
         own = events if low is None else events.where(F.col("batch_at") > F.lit(low))

@@ -8,8 +8,9 @@ with a match can then be removed.
 Before a shard is sorted, stretches that cannot take part are cut out: a match of twelve words lies within a run of at least
 twelve words that all occur in the evaluation texts. This loses nothing, and leaves little to sort.
 
-The evaluation texts are sent to the tasks in blocks of bounded size (``block_chars``), one pass each; documents are never
-gathered or shuffled.
+The evaluation texts are sent to the tasks in blocks of bounded size (``block_chars``). Beyond one block each is a pass of its
+own over the corpus, whose matches are written before the next block is sent, so driver and tasks hold one block at a time.
+Equal evaluation texts are searched once. Documents are never gathered or shuffled.
 
 Defined cases: null, blank and short texts have no match; an evaluation text of fewer than ``least`` words has none either;
 repeated documents and repeated evaluation texts are all reported; no rows on either side give none.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronry.session import Scratch
 from heronry.sources.tables import table
 
 LEAST = 12
@@ -160,13 +162,15 @@ class Shard:
         return best[cols]
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST, shard_words: int = 2_000_000, block_chars: int = 32_000_000) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST, shard_words: int = 2_000_000, block_chars: int = 32_000_000, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id, words, doc_word, item_word): each document and evaluation text that share at least ``least``
     consecutive words, with the length and the places of their longest match."""
     spark = documents.sparkSession
-    items = eval_items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
+    scratch = scratch or Scratch(spark, "leaks")
+    given = eval_items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text", F.sha2("text", 256).alias("same"))
+    items = scratch.save(given.groupBy("same").agg(F.min(F.struct("item_id", "text")).alias("i"), F.count("*").alias("n")).select("same", "i.item_id", "i.text", "n"), "items")
+    chars, most = items.agg(F.sum(F.length("text")), F.max("n")).first()
+    blocks = max(1, -(-(chars or 0) // block_chars))
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, words long, doc_word long, item_word long"
     found = None
@@ -185,8 +189,14 @@ def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST, shard
             yield pa.RecordBatch.from_pandas(shard.matches().astype("int64"), preserve_index=False)
 
         part = docs.mapInArrow(run, schema)
+        if blocks > 1:
+            part = scratch.save(part, "leaks")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
-    return found
+    if (most or 1) == 1:
+        return found
+    copies = given.join(items.select("same", F.col("item_id").alias("searched")), "same").select("searched", F.col("item_id").alias("copy"))
+    return found.join(copies, found["item_id"] == copies["searched"]).select("doc_id", F.col("copy").alias("item_id"), "words", "doc_word", "item_word")
 
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from heronry.llm import clusters, consolidate, history, leaks, neighbours, quali
 QUERIES = {
     "p1_found": survivors.p1_found,
     "p1_survivors": survivors.p1_survivors,
+    "p1_trust": survivors.p1_trust,
     "p2_found": consolidate.p2_found,
     "p3_found": neighbours.p3_found,
     "p3_similar": neighbours.p3_similar,

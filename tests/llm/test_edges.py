@@ -42,11 +42,32 @@ def test_survivor_rules(spark, folder):
                duplicate_groups=[{"group_id": 1, "paths": ["/a/1", "/a//2"]}, {"group_id": 2, "paths": ["/a/2", "/a/3"]}, {"group_id": 3, "paths": ["/a/4", "/a/4", "/gone"]},
                                  {"group_id": 4, "paths": ["/a/5", "/a/6", None]}, {"group_id": 5, "paths": []}, {"group_id": 6}, {"group_id": 7, "paths": ["/a/3", "/a/4"]}])
     assert rows(survivors.p1_found(spark, d)) == [(1, 1), (2, 2), (4, 5), (7, 3)]
-    r = {x["group_id"]: x for x in survivors.p1_survivors(spark, d).collect()}
+    r = {x["group_id"]: x for x in survivors._run(spark, d)[0].collect()}
     assert (r[1]["resolution"], r[1]["size_bytes"]) == (50, 9)  # the newest scan, and the size of the next best copy
     assert r[7]["created_at"] == T0 and r[4]["hash"] == 0x1f
 
 
+def test_trust_turns_a_value(spark, folder):
+    """The newest scan is of a month that is contradicted everywhere: by learned trust the older value stands, by recency the
+    newer; and the file that the trusted scans name is voted for, against the only scan that is contradicted."""
+    day = lambda m: dt.datetime(2024, m, 1)
+    info, n = [], 0
+    for f in range(1, 21):
+        for m, r in ((1, 100), (2, 100), (3, 100), (4, 7 + f)) if f > 2 else ((1, 100), (4, 500)):
+            n += 1
+            info.append({"info_id": n, "path": f"/{f}", "resolution": r, "scanned_at": day(m)})
+    groups = [{"group_id": g, "scan_id": s, "paths": ["/1", "/2"] if g > 90 else [f"/{g}", "/20"], "best_path": b, "created_at": day(1)}
+              for g, s, b in [(g, s, "/20" if s != "bad" else f"/{g}") for g in range(3, 15) for s in ("good", "fair", "bad")] + [(91, "good", "/2"), (92, "bad", "/1")]]
+    for i, g in enumerate(groups):
+        g["group_id"] = g["group_id"] if g["group_id"] > 90 else 1000 + i
+    d = folder(media_files=[{"id": i, "path": f"/{i}", "created_at": T0} for i in range(1, 21)], image_info=info, duplicate_groups=groups)
+    new = {r["group_id"]: r for r in survivors._run(spark, d)[0].collect()}
+    voted = {r["group_id"]: r for r in survivors.p1_survivors(spark, d).collect()}
+    trust = {r["source"]: r["trust"] for r in survivors.p1_trust(spark, d).collect()}
+    assert trust["scans of 2024-04"] < trust["scans of 2024-01"] and trust["groups of bad"] < trust["groups of good"]
+    assert new[91]["resolution"] == 500 and voted[91]["resolution"] == 100 and voted[91]["voted_id"] == 2 == voted[92]["voted_id"]
+
+
 def test_truth_discovery_weighs_sources(spark):
     """Without recency, two agreeing good sources outvote a bad one, and a bad source's lone claim has less support."""
     claims = [(f"e{i}", "f", "right", s, i) for i in range(30) for s in ("good", "fair")] + [(f"e{i}", "f", f"wrong{i}", "bad", i) for i in range(30)]
@@ -170,7 +191,7 @@ def test_batch_after_batch(spark, cap):
 
 def test_batch_reads_its_buckets(spark, monkeypatch):
     """A small batch adds files to the buckets of its own keys, and reads no others; what is known adds no row."""
-    rec = [(i, True, f"/{i}", (i + 1) * 0x9E3779B97F4A7C1) for i in range(200)]
+    rec = [(i, True, f"/{i}", (i + 1) * 0x9E3779B97F4A7C1 % 2**63) for i in range(200)]
     make = lambda x: spark.createDataFrame(x, "record_id long, accepted boolean, pkey string, h long").withColumn("batch_at", F.timestamp_seconds("record_id"))
     h = history.BatchHistory(Scratch(spark, "b"), 64, at="timestamp")
     h.append(make(rec))
