@@ -1,13 +1,14 @@
 """Per-document text quality statistics (problem 10): quantile sketches per language, distribution tails.
 
-Each document gets the statistics of ``STATS`` from its whole text, in one narrow pass. Per language (and for all together)
+The words common in a language's sentences are learned from the corpus. Each document gets the statistics of ``STATS`` from its
+whole text, in one narrow pass. Per language (and for all together)
 mergeable quantile sketches of every statistic are built by one aggregation. A document's values become robust z-scores and
 places among the quantiles; the outer places are tail flags. How much each flag tells is fitted by a ridge logistic regression
 on labelled documents (``MOST_LABELLED`` at most, those of smallest hashed id), so a document is flagged if the sum of its
 flags' weights is positive. Corpus quantiles are taken over all documents, the labelled ones only weigh them.
 
 Defined cases: null, empty and blank texts have null statistics, are in no sketch and are never flagged; a language that is
-null, in another notation or rare is normalised to its two letters or joins the sketch of all; null statistics are unflagged;
+null or in another notation is normalised to its two letters or goes by the words and the sketch of all; null statistics are unflagged;
 null and unreadable labels are left out; without labels of both kinds a document is flagged if less than half of its visible
 characters lie in natural lines; repeated documents count each time; no documents give no rows.
 """
@@ -16,32 +17,24 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from heronry.session import Scratch
 from heronry.sources.tables import table
 
-# Common words of the corpus languages, by language.
-COMMON_WORDS = {
-    "de": "aber alle als am an andere auch auf aus bei beide da das dass dem den denn der des die dieser dieses doch du durch ein eine einem einen einer eines er es für haben hat hatte hier hinter ich ihr im in ist ja jede jeder jedes kein keine man mehr mein meine mit nach neben nicht nichts nie niemand noch nur oder ohne sich sie sind so über um und uns unser unter vom von vor war waren was weil wenn wer werden wie wir wird während zu zum zur zwei zwischen dann",
-    "en": "a about after again all an and are as at be because been before behind between but by can could did do don't for from had has have he her here his how i if in inside into is isn't it its let's like me more most my near never no nobody not of on one only or our out outside over please she should since so some somebody still than that the their them then there these they this those through to two under until up was we were what when where which while who will with without would you your",
-    "es": "a al algo ante antes aquí así aunque bajo cada casi como con cuando de del desde después donde dos durante el ella en entonces entre era es esa ese esta este esto está fue fuera ha había hacia hasta hay la las le les lo los luego mientras mis misma mismas mismo mismos muy más mi nadie ni no nos nunca o para pero por porque pues que quien se si sin sobre son su sus también todavía todo un una unas uno unos y ya",
-    "fr": "à ai alors après au aucun aussi autre aux avait avant avec c car ce cet cette ces comme d dans de depuis derrière des deux dont du elle en encore entre est et était faut hors il ils j jamais je l la le les leur lui m ma mais mes même mêmes mon n ne ni nos notre nous on ont ou où par pas pendant personne plus pour près puis qu quand que quelqu qui quoi s sa sans se ses si son sont sous sur tandis tout très un une vers vous y",
-}
 STATS = ["words", "word_length", "token_length", "symbols", "digits", "letters", "line_ends", "bullets", "common", "natural", "short_lines",
          "sentences", "line_length", "line_tokens", "distinct", "capitals", "vowels", "packed", "technical", "separators", "hashtags", "single_letters", "lines"]
 PLACES = [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995]
 MOST_LABELLED = 20_000
-FEWEST_IN_LANGUAGE = 200
+WORDS_OF_LANGUAGE, WORDS_OF_ALL, FEWEST_WORDS = 60, 150, 6
+PRIOR = 200  # documents that the quantiles of all count for beside those of a language
 
-_BIT = {w: 0 for ws in COMMON_WORDS.values() for w in ws.split()}
-for _k, _ws in enumerate(COMMON_WORDS.values()):
-    for _w in _ws.split():
-        _BIT[_w] |= 1 << _k
 _LINES = re.compile("[\n\r\x0b\x0c\x85\u2028\u2029]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _ENDED = re.compile(r"[.!?…。！？؟][\"'”’»)\]]*\s*$")
@@ -53,11 +46,20 @@ _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x202A, 0
 
 
 def _most_common(found: list[int]) -> int:
-    return max(sum(b >> k & 1 for b in found) for k in range(len(COMMON_WORDS))) if found else 0
+    """Occurrences of common words of the language or of all languages, whichever are more."""
+    return max(sum(b & 1 for b in found), sum(b >> 1 for b in found)) if found else 0
 
 
-def measure(text: str | None) -> list[float] | None:
-    """The values of STATS, or None if no character is visible."""
+@cache
+def _kinds() -> np.ndarray:
+    """1 for letters, 2 for decimal digits, 3 for other characters of words, by code point."""
+    every = [chr(i) for i in range(0x110000)]
+    return np.fromiter((1 if c.isalpha() else 2 if c.isdigit() else 3 if c.isalnum() else 0 for c in every), np.uint8, len(every))
+
+
+def measure(text: str | None, common: dict[str, int]) -> list[float] | None:
+    """The values of STATS, or None if no character is visible. ``common``: words, with bit 1 for common ones of the text's
+    language and bit 2 for common ones of all languages."""
     t = (text or "").translate(_HIDDEN)
     lines = [x for x in _LINES.split(t) if x.strip()]
     if not lines:
@@ -67,7 +69,7 @@ def measure(text: str | None) -> list[float] | None:
     for x in lines:
         tokens = x.split()
         own = _WORD.findall(x.lower())
-        bits = [_BIT[w] for w in own if w in _BIT]
+        bits = [common[w] for w in own if w in common]
         size, n = sum(map(len, tokens)), len(tokens)
         item, end = bool(_ITEM.match(x)), bool(_ENDED.search(x))
         apart = x.count(";") + x.count("|") + x.count("\t") + x.count('":')
@@ -87,8 +89,9 @@ def measure(text: str | None) -> list[float] | None:
         n_tokens += n
         visible += size
     packed = t.encode("utf-8", "replace")
-    letters, digits, n = sum(map(str.isalpha, t)), sum(map(str.isdigit, t)), len(words)
-    return [n, sum(map(len, words)) / n if n else 0.0, visible / n_tokens, 1 - sum(map(str.isalnum, t)) / visible, digits / visible, letters / visible,
+    _, letters, digits, rest = np.bincount(_kinds()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=4).tolist()
+    n = len(words)
+    return [n, sum(map(len, words)) / n if n else 0.0, visible / n_tokens, 1 - (letters + digits + rest) / visible, digits / visible, letters / visible,
             ended / len(lines), items / len(lines), _most_common(found) / n_tokens, natural / visible, short / visible,
             len(_SENTENCE.findall(t)) / n_tokens, visible / len(lines), n_tokens / len(lines), len(set(words)) / n if n else 0.0, capitals / n_tokens,
             sum(1 for w in words if _VOWEL.search(w)) / n if n else 0.0, len(zlib.compress(packed, 1)) / len(packed), len(_TECHNICAL.findall(t)) / visible,
@@ -100,13 +103,35 @@ def language(lang: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]{2})(?:[-_].*)?$", 1), F.lit(""))
 
 
-def statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, language and the statistics of every document."""
+def common_words(documents: DataFrame, scratch: Scratch) -> dict[str, dict[str, int]]:
+    """Learned from the corpus: for each language, and '' for all together, the words that stand in most sentences. Sentences
+    are lines of six words or more that end as sentences do, so tags, tables and names do not count. Words are counted once
+    a sentence, with partial sums over all documents; at most 60 words a language come back, and 150 of all."""
+    line = F.explode(F.split(F.lower("text"), "[\n\r\u000b\u000c\u0085\u2028\u2029]+"))
+    lines = documents.where("text IS NOT NULL").select(language(F.col("lang")).alias("language"), line.alias("line")).where(F.col("line").rlike("[.!?…][\"'”’»)\\]]*\\s*$"))
+    words = lines.select("language", F.regexp_extract_all("line", F.lit("\\p{L}+(?:['’]\\p{L}+)*"), F.lit(0)).alias("ws")).where(F.size("ws") >= FEWEST_WORDS)
+    counts = scratch.save(words.select("language", F.explode(F.array_distinct("ws")).alias("word")).groupBy("language", "word").count(), "words")
+    both = counts.where("language <> ''").union(counts.groupBy(F.lit("").alias("language"), "word").agg(F.sum("count").alias("count")))
+    at = F.row_number().over(W.partitionBy("language").orderBy(F.col("count").desc(), "word"))
+    top = both.withColumn("at", at).where(F.col("at") <= WORDS_OF_ALL).where((F.col("at") <= WORDS_OF_LANGUAGE) | (F.col("language") == "")).select("language", "word").collect()
+    shared = {w: 2 for g, w in top if g == ""}
+    out: dict[str, dict[str, int]] = {"": shared}
+    for g, w in top:
+        if g:
+            own = out.setdefault(g, dict(shared))
+            own[w] = own.get(w, 0) | 1
+    return out
+
+
+def statistics(documents: DataFrame, common: dict[str, dict[str, int]]) -> DataFrame:
+    """doc_id, language and the statistics of every document, with common_words()."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    sent = documents.sparkSession.sparkContext.broadcast(common)  # 60 words a language
 
     def run(batches):
+        known = sent.value
         for b in batches:
-            rows = [measure(t) for t in b.column(2).to_pylist()]
+            rows = [measure(t, known.get(g, known[""])) for g, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             cols = [pa.array([None if r is None else float(r[i]) for r in rows], pa.float64()) for i in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "language", *STATS])
 
@@ -117,14 +142,17 @@ def statistics(documents: DataFrame) -> DataFrame:
 def sketches(stats: DataFrame, accuracy: int = 2000) -> dict[str, np.ndarray]:
     """Quantiles at PLACES of every statistic, (statistics, places), for each language and '' for all documents.
 
-    percentile_approx keeps mergeable sketches: partial ones in every task, merged after; a row per language comes back.
-    Languages of fewer than FEWEST_IN_LANGUAGE documents share the sketch of all."""
+    percentile_approx keeps mergeable sketches: partial ones in every task, merged after; a row per language comes back. A
+    language's quantiles are the mean of its own, weighted by its documents, and of those of all, weighted by PRIOR."""
     at = F.array(*[F.lit(p) for p in PLACES])
     known = stats.where(F.col("words").isNotNull()).select("language", *STATS)
-    both = known.withColumn("language", F.explode(F.array(F.col("language"), F.lit("*"))))
-    rows = (both.groupBy("language").agg(F.count("*").alias("n"), *[F.percentile_approx(s, at, F.lit(accuracy)).alias(s) for s in STATS])
-            .where((F.col("n") >= FEWEST_IN_LANGUAGE) & (F.col("language") != "") | (F.col("language") == "*")).collect())  # at most 26 * 26 languages
-    return {"" if r["language"] == "*" else r["language"]: np.array([r[s] for s in STATS], np.float64) for r in rows}
+    both = known.withColumn("language", F.explode(F.when(F.col("language") == "", F.array(F.lit("*"))).otherwise(F.array(F.col("language"), F.lit("*")))))
+    rows = both.groupBy("language").agg(F.count("*").alias("n"), *[F.percentile_approx(s, at, F.lit(accuracy)).alias(s) for s in STATS]).collect()  # at most 26 * 26 languages
+    own = {r["language"]: (r["n"], np.array([r[s] for s in STATS], np.float64)) for r in rows}
+    if not own:
+        return {}
+    whole = own.pop("*")[1]
+    return {"": whole} | {g: (n * x + PRIOR * whole) / (n + PRIOR) for g, (n, x) in own.items()}
 
 
 def places(x: np.ndarray, quantiles: np.ndarray) -> np.ndarray:
@@ -178,7 +206,7 @@ def _at(languages: list[str], x: np.ndarray, found: dict[str, np.ndarray], of) -
 def graded(documents: DataFrame, doc_labels: DataFrame, scratch: Scratch, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """doc_id, language, the statistics, score (positive: not natural prose) and odd, the number of statistics with a robust
     z-score beyond 3.5; score and odd are null where no character is visible."""
-    stats = scratch.save(statistics(documents), "statistics")
+    stats = scratch.save(statistics(documents, common_words(documents, scratch)), "statistics")
     found = sketches(stats)
     label = F.lower(F.trim("label"))
     chosen = (doc_labels.where(F.col("doc_id").isNotNull() & label.isin("prose", "list", "table", "junk"))

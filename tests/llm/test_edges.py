@@ -418,12 +418,25 @@ def test_suffix_array():
 # p10
 
 def test_statistics_of_texts():
-    s = dict(zip(quality.STATS, quality.measure("The dog was on the table.\n\nIt is still there, and we like it.")))
+    common = dict.fromkeys("the was on it is still there and we like".split(), 1)
+    s = dict(zip(quality.STATS, quality.measure("The dog was on the table.\n\nIt is still there, and we like it.", common)))
     assert (s["words"], s["lines"], s["line_ends"], s["natural"]) == (14, 2, 1.0, 1.0) and s["common"] > 0.5
     for junk in ("- a\n- b\n- c", "1,2,3\n4,5,6", "\x00", "#a #b #c", "5f 10 5d\n" * 5, "la " * 50):
-        assert quality.measure(junk)[quality.STATS.index("natural")] < 0.5
+        assert quality.measure(junk, common)[quality.STATS.index("natural")] < 0.5
     for empty in (None, "", " \n\t", "​­"):
-        assert quality.measure(empty) is None
+        assert quality.measure(empty, common) is None
+
+
+def test_common_words_are_learned(spark):
+    """The words of most sentences, by language; tags and tables teach nothing. Held-out sentences of an unlisted language pass."""
+    r = random.Random(10)
+    say = lambda: " ".join(w for _ in range(4) for w in (r.choice(["ki", "na", "ta"]), "".join(r.choice("bdfgklmnoaeiu") for _ in range(6)))).capitalize() + "."
+    docs = [(i, say() + "\n" + say(), "xx") for i in range(60)] + [(100 + i, "img_01 tag tag\nred;blue;4\n", "xx") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    words = quality.common_words(df, Scratch(spark, "q"))
+    assert {"ki", "na", "ta"} <= words["xx"].keys() and not {"tag", "red", "blue"} & words["xx"].keys()
+    s = quality.measure(say(), words["xx"])
+    assert s[quality.STATS.index("natural")] == 1.0 and s[quality.STATS.index("common")] >= 0.5
 
 
 def test_without_labels(spark, folder):
