@@ -4,6 +4,7 @@ IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".heic", ".bmp", ".tiff", ".gif", "
 VIDEO_EXTENSIONS = [".mp4", ".mov", ".avi", ".mkv", ".wmv", ".flv", ".webm"]
 SYNC_EXTENSIONS = IMAGE_EXTENSIONS + VIDEO_EXTENSIONS + [".webp", ".tif", ".cr2", ".nef", ".arw"]
 
+# Hamming distances by name
 THRESHOLDS = {"exact": 0, "very_similar": 5, "similar": 10, "loose": 15}
 
 # key, label, priority, default_enabled, detection
@@ -61,6 +62,7 @@ SCENE_CLASSES = [
 FACE_THRESHOLDS = {"strict": 0.7, "balanced": 0.6, "loose": 0.5}
 # level: JPEG quality, video CRF
 COMPRESSION_LEVELS = {1: (95, 18), 2: (85, 23), 3: (75, 28)}
+EVENT_STATUSES = ["stabilized", "enqueued", "running", "completed", "failed"]
 SUPPRESSING_STATUSES = ["completed", "ignored", "failed"]
 BATCH_GAP_SECONDS = 3
 PENDING_SECONDS = 300

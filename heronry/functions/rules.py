@@ -137,3 +137,25 @@ def review_type(source: Column) -> Column:
 
 def clamp_threshold(t: Column, default: int = 10) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(25), F.coalesce(t, F.lit(default))))
+
+
+def enabled_steps(steps: Column) -> Column:
+    """Those of an array of structs (..., enabled) that are on."""
+    return F.filter(steps, lambda s: F.coalesce(s["enabled"], F.lit(False)))
+
+
+def stage_keys(enabled: Column, of_stage: list[str]) -> Column:
+    """The keys of a stage that are enabled; an empty array lets the stage out."""
+    return F.array_intersect(F.array(*[F.lit(k) for k in of_stage]), enabled)
+
+
+def throttle_seconds(kilobytes_per_second: Column) -> Column:
+    """Pause between uploads under a limit of the bandwidth."""
+    return F.lit(1.0) / F.greatest(F.lit(1.0), kilobytes_per_second / 512.0)
+
+
+def normalised_planes(pixels: Column, mean: list[float], spread: list[float]) -> Column:
+    """Bytes of a picture, three channels a pixel, as three planes of (value / 255 - mean) / spread, one after the other."""
+    n = (F.size(pixels) / 3).cast("int")
+    plane = lambda c: F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.element_at(pixels, (i * 3 + c + 1).cast("int")) / 255.0 - mean[c]) / spread[c])
+    return F.when(n > 0, F.concat(plane(0), plane(1), plane(2))).otherwise(F.array().cast("array<double>"))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from heronry.functions.constants import TAXONOMY
+from heronry.operators.organise import ranked
+
 
 def tags_with_categories(tags: DataFrame, categories: DataFrame) -> DataFrame:
     """Tags with key, label and priority of their category."""
@@ -71,3 +74,34 @@ def purge_counts(**tables: DataFrame) -> DataFrame:
     """(table, rows) of the tables that a purge would empty."""
     parts = [t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, t in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def seeded(categories: DataFrame) -> DataFrame:
+    """The category table with those of the built-in taxonomy that it has not, by key; new ids follow its largest."""
+    spark = categories.sparkSession
+    have = categories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    rows = spark.createDataFrame([(i + 1, *t) for i, t in enumerate(TAXONOMY)], "at int, key string, label string, priority int, default_enabled boolean, detection string")
+    new = rows.join(categories.select("key"), "key", "left_anti").crossJoin(have)  # one row; the taxonomy is 15
+    return categories.unionByName(new.select((F.col("at") + F.col("top")).cast(categories.schema["id"].dataType).alias("id"), "key", "label", "priority", "default_enabled", "detection"))
+
+
+def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with new rows under the ids that follow its largest, in the order of their ``at``; columns they lack are null."""
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    numbered = ranked(rows.withColumn("_all", F.lit(0)), ["_all"], ["at"], "_n").withColumn("id", (F.lit(top) + F.col("_n")).cast(table.schema["id"].dataType))
+    return table.unionByName(numbered.drop("_all", "_n", "at"), allowMissingColumns=True)
+
+
+def removed(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    return table.join(gone.select(key).distinct(), key, "left_anti").select(*table.columns)
+
+
+def assigned(faces: DataFrame, assignments: DataFrame, people: DataFrame) -> DataFrame:
+    """Faces with the person of assignments (id, person_id) to persons that exist; of several for one face the smallest."""
+    known = assignments.join(people.select(F.col("id").alias("person_id")), "person_id", "left_semi").groupBy("id").agg(F.min("person_id").alias("_to"))
+    return faces.join(known, "id", "left").select(*[F.coalesce("_to", "person_id").alias(c) if c == "person_id" else F.col(c) for c in faces.columns])
+
+
+def selection_bytes(files: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row: files and bytes of a selection (path); unknown sizes count as nothing."""
+    return files.join(selected.select("path").distinct(), "path", "left_semi").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.greatest("size_bytes", F.lit(0))), F.lit(0)).alias("bytes"))

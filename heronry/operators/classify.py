@@ -51,6 +51,11 @@ def pipeline(files: DataFrame, scored: DataFrame, scores: dict[str, tuple[Column
     return resolved(files, videos.union(rules).union(models), enabled, auto_threshold)
 
 
+def gated(scores: dict[str, tuple[Column, str, int]], enabled: set[str], unavailable: set[int] = frozenset()) -> dict[str, tuple[Column, str, int]]:
+    """The rule scores whose key is enabled and whose stage can run; what is left out is never computed."""
+    return {k: v for k, v in scores.items() if k in enabled and v[2] not in unavailable}
+
+
 def summary(tags: DataFrame) -> DataFrame:
     return tags.groupBy("key").agg(F.count_if(F.col("verdict") == "auto").alias("tagged"), F.count_if(F.col("verdict") == "review").alias("to_review"))
 

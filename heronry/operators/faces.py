@@ -13,7 +13,8 @@ from heronry.session import Scratch
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -24,20 +25,22 @@ def usable(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.where((F.size(v) == dim) & (F.size(F.array_compact(v)) == dim) & (top < float("inf")) & (low > float("-inf")) & ((top != 0) | (low != 0)))
 
 
-def top_match(probes: DataFrame, known: DataFrame, threshold: float, block: int = 20_000) -> DataFrame:
+def top_match(probes: DataFrame, known: DataFrame, threshold: float, block: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """(id, known_id, similarity): the known vector (id, v) most similar to each probe (id, v), if its cosine is above 0 and
     at the threshold or above; of equal ones (to nine digits) the smallest known id.
 
-    Known vectors are sent in blocks of at most ``block`` rows, so what a task holds does not grow with them; each block
-    gives a probe at most one row."""
+    Known vectors are sent in blocks of about ``block`` rows, one at a time: beyond one block each is a pass over the probes
+    whose answers, at most one row a probe, are written before the next is sent, so neither driver nor tasks hold more."""
     spark = probes.sparkSession
-    blocks = max(1, -(-known.count() // block) * (1 if known.count() <= block else 2))
+    scratch = scratch or Scratch(spark, "match")
+    n = known.count()
+    blocks = 1 if n <= block else -(-n // block) + 1
     found = None
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").toArrow()
         if not part.num_rows:
             continue
-        sent = spark.sparkContext.broadcast((part.column(0).to_numpy(), _unit(part.column(1).combine_chunks())))
+        sent = spark.sparkContext.broadcast((part.column(0).to_numpy(), _unit(part.column(1))))
 
         def run(batches, sent=sent):
             ids, y = sent.value
@@ -50,6 +53,9 @@ def top_match(probes: DataFrame, known: DataFrame, threshold: float, block: int
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at]), pa.array(s[np.arange(len(at)), at])], names=["id", "known_id", "similarity"])
 
         rows = probes.select("id", "v").mapInArrow(run, "id long, known_id long, similarity double")
+        if blocks > 1:
+            rows = scratch.save(rows, "match")
+            sent.destroy()
         found = rows if found is None else found.union(rows)
     if found is None:
         return spark.createDataFrame([], "id long, known_id long, similarity double")
@@ -74,7 +80,7 @@ def leader_clusters(vectors: DataFrame, threshold: float = 0.5, step: int = 2000
         head = left.orderBy("id").limit(step).toArrow()
         if not head.num_rows:
             return out
-        ids, x = head.column(0).to_numpy(), _unit(head.column(1).combine_chunks())
+        ids, x = head.column(0).to_numpy(), _unit(head.column(1))
         s = np.round(x @ x.T, 9) >= threshold
         leader = np.full(len(ids), -1)
         for i in range(len(ids)):

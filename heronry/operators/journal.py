@@ -43,3 +43,8 @@ def shallowest_folder(plan: DataFrame) -> DataFrame:
     folder = F.regexp_replace("dst", r"/[^/]*$", "")
     d = plan.where("status = 'reverted' AND dst IS NOT NULL").select("session_id", folder.alias("folder"))
     return d.groupBy("session_id").agg(F.min(F.struct(F.size(F.split("folder", "/")).alias("n"), "folder"))["folder"].alias("folder"))
+
+
+def export_session(journal: DataFrame, session_id: str, folder: str) -> None:
+    """Write one session's actions, in order, as JSON lines."""
+    journal.where(F.col("session_id") == session_id).repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").json(folder)

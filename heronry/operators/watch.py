@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from heronry.functions.constants import BATCH_GAP_SECONDS, PENDING_SECONDS, SUPPRESSING_STATUSES
-from heronry.functions.paths import path_key
+from heronry.functions.constants import BATCH_GAP_SECONDS, EVENT_STATUSES, PENDING_SECONDS, SUPPRESSING_STATUSES
+from heronry.functions.naming import ignored
+from heronry.functions.paths import basename, path_key
 from heronry.functions.times import micros
 
 
@@ -46,3 +47,22 @@ def unprocessed(found: DataFrame, events: DataFrame) -> DataFrame:
     """Files (file_path) of no event that ended, under whatever spelling; in-flight ones come again."""
     done = events.where(F.lower(F.trim("status")).isin(SUPPRESSING_STATUSES)).select(path_key("file_path").alias("_key")).distinct()
     return found.withColumn("_key", path_key("file_path")).join(done, "_key", "left_anti").drop("_key")
+
+
+def backfill(listed: DataFrame, events: DataFrame, config_id: int, ignore: list[str] = ()) -> DataFrame:
+    """(config_id, file_path) of listed files (path) that a watch finds when it starts and no event has ended."""
+    found = listed.where(~ignored(basename(F.col("path")), ignore)).select(F.lit(config_id).cast("long").alias("config_id"), F.col("path").alias("file_path"))
+    return unprocessed(found, events)
+
+
+def advanced(events: DataFrame, told: DataFrame) -> DataFrame:
+    """Events (id, status, error_message, ...) after told (id, status, error): a status only goes on, from stabilized to enqueued
+    to running to completed or failed; what ended stays. Of several for one event the farthest counts, and failed over
+    completed."""
+    rank = lambda c: F.coalesce(F.array_position(F.array(*[F.lit(s) for s in EVENT_STATUSES]), F.lower(F.trim(c))), F.lit(0))
+    last = told.groupBy("id").agg(F.max(F.struct(rank(F.col("status")).alias("r"), "status", "error")).alias("t"))
+    j = events.join(last, "id", "left")
+    ended = F.lower(F.trim("status")).isin(SUPPRESSING_STATUSES)
+    go = F.coalesce(~F.coalesce(ended, F.lit(False)) & (F.col("t.r") > rank(F.col("status"))), F.lit(False))
+    put = {"status": F.when(go, F.lower(F.trim("t.status"))).otherwise(F.col("status")), "error_message": F.when(go, F.col("t.error")).otherwise(F.col("error_message"))}
+    return j.select(*[put[c].alias(c) if c in put else F.col(c) for c in events.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.functions.constants import SUPPRESSING_STATUSES
+from heronry.functions.constants import SUPPRESSING_STATUSES, TAXONOMY
 from heronry.operators import catalog as ops
 from heronry.operators.faces import delete_people, merge_people
 from heronry.functions.paths import path_key
@@ -228,3 +228,72 @@ def customer_orders_coverage(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left").groupBy("c_mktsegment").agg(
         F.count_distinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"))
+
+
+@query("categories_seed", "WITH have AS (SELECT max(id) AS top FROM categories), t AS (SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{k}', '{v}', {p}, {str(e).lower()}, '{d}')" for i, (k, v, p, e, d) in enumerate(TAXONOMY)) + """) t(n, key, label, priority, default_enabled, detection))
+SELECT id, key, label, priority, default_enabled, detection FROM categories UNION ALL SELECT (top + n)::INT, key, label, priority, default_enabled, detection FROM t, have WHERE key NOT IN (SELECT key FROM categories)""")
+def categories_seed(spark, d):
+    c = table(spark, d, "categories")
+    return ops.seeded(c).select("id", "key", "label", "priority", "default_enabled", "detection")
+
+
+@query("faces_assign", """WITH a AS (SELECT e.id, (SELECT min(id) FROM people) + e.id % 7 AS person_id FROM face_embeddings e WHERE person_id IS NULL)
+SELECT e.id, coalesce(p.id, e.person_id) AS person_id FROM face_embeddings e LEFT JOIN a ON a.id = e.id LEFT JOIN people p ON p.id = a.person_id""")
+def faces_assign(spark, d):
+    """Faces of no person are given to persons, some of whom do not exist."""
+    f, p = table(spark, d, "face_embeddings").select("id", "person_id"), table(spark, d, "people")
+    least = p.agg(F.min("id")).first()[0] or 0
+    return ops.assigned(f, f.where("person_id IS NULL").select("id", (F.lit(least) + F.col("id") % 7).alias("person_id")), p)
+
+
+@query("people_create", """WITH n AS (SELECT DISTINCT upper(trim(name)) AS name FROM people WHERE name IS NOT NULL), t AS (SELECT coalesce(max(id), 0) AS top FROM people)
+SELECT id, name FROM people UNION ALL SELECT top + row_number() OVER (ORDER BY name), name FROM n, t""")
+def people_create(spark, d):
+    p = table(spark, d, "people").select("id", "name")
+    new = p.where("name IS NOT NULL").select(F.upper(F.trim("name")).alias("name")).distinct()
+    return ops.appended(p, new.withColumn("at", F.col("name")))
+
+
+@query("watcher_configs_changes", """WITH c AS (SELECT DISTINCT watcher_config_id AS id FROM watcher_events WHERE watcher_config_id IS NOT NULL)
+SELECT id, CASE WHEN id % 2 = 0 THEN 5 ELSE 2 END AS stability_window, id % 5 <> 0 AS enabled FROM c WHERE id % 7 <> 0""")
+def watcher_configs_changes(spark, d):
+    """Configurations created, two settings updated, some deleted."""
+    c = table(spark, d, "watcher_events").select(F.col("watcher_config_id").alias("id")).where("id IS NOT NULL").distinct()
+    c = c.select("id", F.lit(2).alias("stability_window"), F.lit(True).alias("enabled"))
+    c = ops.updated(c, c.where("id % 2 = 0").select("id", F.lit(5).alias("stability_window")), "id")
+    c = ops.updated(c, c.where("id % 5 = 0").select("id", F.lit(False).alias("enabled")), "id")
+    return ops.removed(c, c.where("id % 7 = 0"))
+
+
+@query("events_advance", """WITH t AS (SELECT id, CASE id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN id % 3 = 2 THEN 'told' END AS error FROM watcher_events WHERE id % 4 <> 0),
+e AS (SELECT id, status, error_message, coalesce(list_position(['stabilized', 'enqueued', 'running', 'completed', 'failed'], lower(trim(status))), 0) AS r, coalesce(lower(trim(status)) IN ('completed', 'ignored', 'failed'), false) AS ended FROM watcher_events),
+j AS (SELECT e.*, t.status AS ts, t.error, NOT ended AND coalesce(list_position(['stabilized', 'enqueued', 'running', 'completed', 'failed'], t.status), 0) > r AS go FROM e LEFT JOIN t USING (id))
+SELECT id, CASE WHEN go THEN ts ELSE status END AS status, CASE WHEN go THEN error ELSE error_message END AS error_message FROM j""")
+def events_advance(spark, d):
+    """Statuses told for three quarters of the events; what ended stays."""
+    from heronry.operators.watch import advanced
+
+    e = table(spark, d, "watcher_events").select("id", "status", "error_message")
+    k = F.col("id") % 3
+    told = e.where("id % 4 <> 0").select("id", F.when(k == 0, "running").when(k == 1, "completed").otherwise("failed").alias("status"), F.when(k == 2, "told").alias("error"))
+    return advanced(e, told)
+
+
+@query("selection_bytes", f"""WITH s AS (SELECT DISTINCT {sql_key('p')} AS path FROM (SELECT unnest(paths) AS p FROM duplicate_groups))
+SELECT count(*) AS files, coalesce(sum(greatest(coalesce(size_bytes, 0), 0)), 0)::BIGINT AS bytes FROM media_files WHERE path IN (SELECT path FROM s WHERE path IS NOT NULL)""")
+def selection_bytes(spark, d):
+    f = table(spark, d, "media_files").select(path_key("path").alias("path"), "size_bytes")
+    return ops.selection_bytes(f, table(spark, d, "duplicate_groups").select(F.explode("paths").alias("p")).select(path_key("p").alias("path")))
+
+
+@query("throttle_and_steps", """SELECT event_id, round(1.0::DOUBLE / greatest(1.0::DOUBLE, value / 512.0), 9) AS seconds, list_filter(['classify', 'organize', 'dedupe'], lambda x: (x = 'classify') OR (x = 'dedupe' AND user_id % 2 = 0)) AS steps,
+list_filter(['nature', 'food', 'pets'], lambda x: x = 'food' OR (x = 'pets' AND user_id % 3 = 0)) AS keys FROM events""")
+def throttle_and_steps(spark, d):
+    """Pauses between uploads, the steps of a watch that are on, the keys of a stage that are on."""
+    from heronry.functions import rules
+
+    u = F.col("user_id")
+    steps = F.array(*[F.struct(F.lit(n).alias("name"), on.alias("enabled")) for n, on in (("classify", F.lit(True)), ("organize", F.lit(None).cast("boolean")), ("dedupe", u % 2 == 0))])
+    on = F.when(u % 3 == 0, F.array(F.lit("pets"), F.lit("food"))).otherwise(F.array(F.lit("food")))
+    return table(spark, d, "events").select("event_id", F.round(rules.throttle_seconds(F.col("value")), 9).alias("seconds"),
+                                            F.transform(rules.enabled_steps(steps), lambda s: s["name"]).alias("steps"), rules.stage_keys(on, ["nature", "food", "pets"]).alias("keys"))

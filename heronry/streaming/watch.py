@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from heronry.functions.constants import PENDING_SECONDS, SUPPRESSING_STATUSES
+from heronry.functions.constants import PENDING_SECONDS, SUPPRESSING_STATUSES, THRESHOLDS
 from heronry.functions.naming import ignored
 from heronry.functions.paths import basename, path_key
+from heronry.operators.dedupe import duplicate_groups
+from heronry.operators.organise import organise_plan
+from heronry.operators.sync import sync_plan
 
 POLLS = "config_id long, file_path string, poll_ts timestamp, size long, mtime long"
 _STATE = "first_at double, size long, mtime long, unchanged long, done boolean"
@@ -99,6 +102,28 @@ def run_pipeline(stable: DataFrame, steps: list[tuple[str, Callable[[DataFrame],
     return stable.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def catalogue_steps(files: DataFrame, tags: DataFrame, fingerprints: DataFrame, latest: DataFrame, target: str = "/organised", threshold: int = THRESHOLDS["similar"]) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The steps of run_pipeline() over static tables: files (id, path, created_at), resolved tags (file_id, key, verdict),
+    fingerprints (path, h, resolution) and the newest uploads of an account (local_path, content_hash).
+
+    classify gives the batch's tags, organise its plan, dedupe the members of every group that has a file of the batch, and
+    cloud_sync what to upload, by a hash of path and date, as contents are not at hand here."""
+    keyed = lambda b: b.select(path_key("file_path").alias("path")).distinct()
+    known = files.select("id", path_key("path").alias("path"), "created_at")
+
+    def dedupe_step(b: DataFrame) -> DataFrame:
+        groups = duplicate_groups(fingerprints, threshold)
+        return groups.join(groups.join(keyed(b), "path", "left_semi").select("group_id").distinct(), "group_id", "left_semi")
+
+    def sync_step(b: DataFrame) -> DataFrame:
+        local = known.join(keyed(b), "path", "left_semi").select(F.col("path").alias("local_path"), F.sha2(F.concat_ws(":", "path", "created_at"), 256).alias("content_hash"))
+        return sync_plan(local, latest)
+
+    return [("classify", lambda b: known.join(keyed(b), "path", "left_semi").join(tags.withColumnRenamed("file_id", "id"), "id").select("path", "key", "verdict")),
+            ("organize", lambda b: organise_plan(known.join(keyed(b), "path", "left_semi"), known.limit(0).select("path"), target)),
+            ("dedupe", dedupe_step), ("cloud_sync", sync_step)]
+
+
 class WatchManager:
     """Keeps one query per enabled configuration; ``reconcile`` starts, restarts and stops what changed."""
 

@@ -151,3 +151,14 @@ def test_ignored_white_space_at_end(spark):
     globs = ["thumb_*", "*[_-]edit.*", "P[0-4]*.jp?g"]
     names = [n + w for n in ("P1.jpeg", "P9.jpeg", "a-edit.png", "thumb_1", "x.jpg") for w in ("", " ", "\n", "\r\n", "\u2028", "\t\n")]
     assert column(spark, names, lambda c: naming.ignored(c, globs)) == [any(fnmatchcase(n, g) for g in globs) for n in names]
+
+
+def test_planes_and_gates(spark):
+    from heronry.functions import rules
+    from heronry.operators import classify
+
+    df = spark.createDataFrame([([0, 255, 51, 255, 0, 102],), ([],)], "p array<int>")
+    got = [r[0] for r in df.select(rules.normalised_planes(F.col("p"), [0.5, 0.5, 0.0], [0.5, 0.5, 0.2])).collect()]
+    assert [round(x, 6) for x in got[0]] == [-1.0, 1.0, 1.0, -1.0, 1.0, 2.0] and got[1] == []
+    scores = {"night": (F.lit(0.5), "exif", 1), "pets": (F.lit(0.9), "ml_scene", 3), "travel": (F.lit(0.7), "exif", 1)}
+    assert set(classify.gated(scores, {"night", "pets"}, {3})) == {"night"}

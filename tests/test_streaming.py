@@ -60,3 +60,23 @@ def test_manager():
     assert m.reconcile([{"id": 1, "enabled": True}]) == {}
     assert m.reconcile([{"id": 1, "enabled": True, "window": 3}]) == {1: "restarted"}
     assert m.reconcile([]) == {1: "stopped"} and Q.stopped == 2
+
+
+def test_steps_of_the_catalogue(spark, tmp_path):
+    """The four steps over static tables, their results kept; a file is found under any spelling."""
+    from heronry.operators import watch as batch
+    from heronry.streaming import watch
+
+    files = spark.createDataFrame([(1, "/a/x.jpg"), (2, "/a/y.jpg"), (3, "/a/z.mov")], "id long, path string").selectExpr("*", "timestamp_ntz'2024-03-01 00:00:00' AS created_at")
+    tags = spark.createDataFrame([(1, "pets", "auto"), (3, "videos", "auto")], "file_id long, key string, verdict string")
+    prints = spark.createDataFrame([("/a/x.jpg", 1, 10), ("/a/y.jpg", 3, 20)], "path string, h long, resolution long")
+    latest = spark.createDataFrame([], "local_path string, content_hash string")
+    steps = dict(watch.catalogue_steps(files, tags, prints, latest))
+    b = spark.createDataFrame([("/a//x.jpg",), ("/a/z.mov",)], "file_path string")
+    assert sorted(r["key"] for r in steps["classify"](b).collect()) == ["pets", "videos"]
+    assert {r["dst"] for r in steps["organize"](b).collect()} == {"/organised/2024/March/x.jpg", "/organised/2024/March/z.mov"}
+    assert {(r["path"], r["is_best"]) for r in steps["dedupe"](b).collect()} == {("/a/x.jpg", False), ("/a/y.jpg", True)}
+    assert {r["action"] for r in steps["cloud_sync"](b).collect()} == {"upload"}
+    listed = spark.createDataFrame([("/a/x.jpg",), ("/a/.hidden",), ("/a/n.jpg",)], "path string")
+    done = spark.createDataFrame([("/a/./x.jpg", "completed")], "file_path string, status string")
+    assert [tuple(r) for r in batch.backfill(listed, done, 4).collect()] == [(4, "/a/n.jpg")]
