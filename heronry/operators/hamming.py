@@ -8,7 +8,7 @@ Buckets over ``cap`` are not paired: their rows get further keys from another sp
 covers), level by level. No candidate is dropped.
 
 How many blocks must agree follows the number of different hashes: one while buckets of one block are small (6 keys at
-t = 5 up to 130,000 hashes), then two (21 keys), three (56), so that a bucket keeps about the same size at any scale.
+t = 5 up to 520,000 hashes), then two (21 keys), three (56), so that a bucket keeps about the same size at any scale.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from heronry.functions.hashes import hamming
 from heronry.session import Scratch
 
 _LEVELS = 5
-_IN_BUCKET = 128
+_IN_BUCKET = 512
 _MOST_KEYS = 300
 
 
