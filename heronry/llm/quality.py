@@ -42,7 +42,7 @@ _SENTENCE = re.compile(r"[.!?…。！？؟][\"'”’»)\]]*(?=\s|$)")
 _ITEM = re.compile(r"\s*(?:[-*•·–+]\s|\[[ x]\]|\d+[.)]\s|#\w|/\w|\{)")
 _TECHNICAL = re.compile(r"[,;|=<>{}\[\]\\/#~^$%&*_+@]")
 _VOWEL = re.compile(r"[aeiouyàâäáéèêëíîïóôöúùûüœæаеиоуыэюя]")
-_HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0xFE0F])
+_HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff\u202a-\u202e\ufe0f]+")
 
 
 def _most_common(found: list[int]) -> int:
@@ -60,7 +60,9 @@ def _kinds() -> np.ndarray:
 def measure(text: str | None, common: dict[str, int]) -> list[float] | None:
     """The values of STATS, or None if no character is visible. ``common``: words, with bit 1 for common ones of the text's
     language and bit 2 for common ones of all languages."""
-    t = (text or "").translate(_HIDDEN)
+    t = text or ""
+    if not t.isascii():
+        t = _HIDDEN.sub("", t)
     lines = [x for x in _LINES.split(t) if x.strip()]
     if not lines:
         return None
@@ -81,8 +83,9 @@ def measure(text: str | None, common: dict[str, int]) -> list[float] | None:
         short += size if n <= 4 else 0
         ended += end
         items += item
-        capitals += sum(k[0].isupper() for k in tokens)
-        hashtags += sum(k[0] == "#" for k in tokens)
+        firsts = [k[0] for k in tokens]
+        capitals += sum(map(str.isupper, firsts))
+        hashtags += firsts.count("#")
         separators += apart
         words += own
         found += bits
@@ -90,12 +93,12 @@ def measure(text: str | None, common: dict[str, int]) -> list[float] | None:
         visible += size
     packed = t.encode("utf-8", "replace")
     _, letters, digits, rest = np.bincount(_kinds()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=4).tolist()
-    n = len(words)
-    return [n, sum(map(len, words)) / n if n else 0.0, visible / n_tokens, 1 - (letters + digits + rest) / visible, digits / visible, letters / visible,
+    n, lengths = len(words), list(map(len, words))
+    return [n, sum(lengths) / n if n else 0.0, visible / n_tokens, 1 - (letters + digits + rest) / visible, digits / visible, letters / visible,
             ended / len(lines), items / len(lines), _most_common(found) / n_tokens, natural / visible, short / visible,
             len(_SENTENCE.findall(t)) / n_tokens, visible / len(lines), n_tokens / len(lines), len(set(words)) / n if n else 0.0, capitals / n_tokens,
-            sum(1 for w in words if _VOWEL.search(w)) / n if n else 0.0, len(zlib.compress(packed, 1)) / len(packed), len(_TECHNICAL.findall(t)) / visible,
-            separators / n_tokens, hashtags / n_tokens, sum(1 for w in words if len(w) == 1) / n if n else 0.0, len(lines)]
+            sum(map(bool, map(_VOWEL.search, words))) / n if n else 0.0, len(zlib.compress(packed, 1)) / len(packed), len(_TECHNICAL.findall(t)) / visible,
+            separators / n_tokens, hashtags / n_tokens, lengths.count(1) / n if n else 0.0, len(lines)]
 
 
 def language(lang: Column) -> Column:
