@@ -36,7 +36,8 @@ def _wide_pairs(changes: DataFrame, items: str, sign: int) -> DataFrame:
     wide = changes.where(F.size(items) > WIDE)
     cut = wide.select(F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / WIDE).cast("int")), lambda i: F.slice(items, i * WIDE + 1, WIDE)).alias("pieces"), "n")
     left = cut.select(F.posexplode("pieces").alias("i", "left"), "pieces", "n")
-    both = left.select("i", "left", "n", F.posexplode("pieces").alias("j", "right")).where("j >= i").repartition("i", "j", F.xxhash64("left"))
+    parts = max(1, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a given number is not merged for being small
+    both = left.select("i", "left", "n", F.posexplode("pieces").alias("j", "right")).where("j >= i").repartition(parts, "i", "j", F.xxhash64("left"))
     pair = both.select("i", "j", F.explode("left").alias("a"), "right", "n").select("a", F.explode("right").alias("b"), "n")
     return pair.where("a < b").select("a", "b", (F.col("n") * sign).alias("n"))
 
