@@ -92,7 +92,8 @@ def picture_links(media_files: DataFrame, image_info: DataFrame, duplicate_group
     A listed group and the files of one hash are stars around their smallest file, never all pairs."""
     files = scratch.save(files_by_path(media_files), "files")
     listed = duplicate_groups.select("group_id", F.explode("paths").alias("path")).select("group_id", path_key("path").alias("pkey")).distinct()
-    member = scratch.save(listed.join(files, "pkey").select("group_id", "file_id"), "members")
+    # merged, never broadcast: Spark takes the exploded paths to be as small as the lists
+    member = scratch.save(listed.hint("merge").join(files, "pkey").select("group_id", "file_id"), "members")
     star = member.groupBy("group_id").agg(F.min("file_id").alias("a"))
     by_list = member.join(star, "group_id").where("a <> file_id").select("a", F.col("file_id").alias("b"))
     hashed = scratch.save(scans_in_force(image_info).where("h IS NOT NULL").join(files, "pkey").select("h", "file_id"), "hashed")

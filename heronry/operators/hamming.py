@@ -57,6 +57,8 @@ def block_keys(h: Column, threshold: int, agree: int = 2, level: int = 0) -> Col
 
 
 def _verified(keyed: DataFrame, threshold: int) -> DataFrame:
+    # merged, never broadcast: Spark takes the exploded keys to be as small as the hashes, and the driver would gather all of them
+    keyed = keyed.hint("merge")
     a, b = keyed.select("key", F.col("h").alias("a")), keyed.select("key", F.col("h").alias("b"))
     return a.join(b, "key").where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)).select("a", "b")
 

@@ -98,6 +98,20 @@ def test_grid(spark, seed):
     assert rows(consolidate.grid_components(df, edges_per_cell=15)) == brute_components(edges)
 
 
+def test_listed_paths_are_not_broadcast(spark, folder, monkeypatch):
+    """Listed paths are many times what Spark takes their lists to be: they must not go to the driver."""
+    d = folder(media_files=[{"id": i, "path": f"/a/{i}"} for i in range(4)], duplicate_groups=[{"group_id": 1, "paths": ["/a/0", "/a/1"]}, {"group_id": 2, "paths": ["/a/1", "/a/3", "/b"]}])
+    plans, save = {}, Scratch.save
+
+    def kept(self, df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", kept)
+    assert rows(QUERIES["p2_found"](spark, d)) == [(0, 0), (1, 0), (3, 0)]
+    assert "SortMergeJoin" in plans["members"] and "Broadcast" not in plans["members"]
+
+
 def test_hot_list_and_hash(spark, folder):
     """A third of all files in one list, a third with one hash; nothing is paired up."""
     files = [{"id": i, "path": f"/{i}"} for i in range(1, 91)]

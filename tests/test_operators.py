@@ -50,6 +50,14 @@ def test_hamming_pairs_edges(spark):
     assert rows(blocked_pairs(spark.createDataFrame([(h,) for h in set(hs)], "h long"), 16, rows_per_block=25)) == brute_pairs(hs, 16)
 
 
+@pytest.mark.parametrize("t", [5, 10])
+def test_hamming_keys_are_not_broadcast(spark, t):
+    """The keys of a hash are many times its size, of which Spark's estimate knows nothing: they must not go to the driver."""
+    hs = near_hashes(200, 4, 10)
+    plan = hamming_pairs(spark.createDataFrame([(h,) for h in hs], "h long"), t)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def components(edges):
     p = {}
 
