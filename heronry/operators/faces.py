@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from heronry.operators.components import connected_components
 from heronry.session import Scratch
 
+_PROBES = 256  # probes that a task compares with a block at once
+_PAIRS = 65_536  # pairs that it computes in double precision at once
+
 
 def _unit(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -25,12 +28,41 @@ def usable(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.where((F.size(v) == dim) & (F.size(F.array_compact(v)) == dim) & (top < float("inf")) & (low > float("-inf")) & ((top != 0) | (low != 0)))
 
 
+def _best(x: np.ndarray, y: np.ndarray, y32: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, cosine to nine digits) of the vector of ``y`` most similar to each row of ``x``, of equal ones the first,
+    without rows whose best is below ``low``. Single precision (``y32``) only tells which pairs are computed in double: those
+    within its largest error of a row's best."""
+    slack = np.float32((x.shape[1] + 8) * 2.0**-23)
+    s = x.astype(np.float32) @ y32.T
+    row, at = np.divmod(np.flatnonzero(s >= (np.maximum(s.max(1), np.float32(low)) - slack)[:, None]), len(y))
+    exact = np.empty(len(row))
+    for i in range(0, len(row), _PAIRS):
+        exact[i:i + _PAIRS] = np.einsum("ij,ij->i", x[row[i:i + _PAIRS]], y[at[i:i + _PAIRS]])
+    exact = np.round(exact, 9)
+    order = np.lexsort((at, -exact, row))
+    first = order[np.unique(row[order], return_index=True)[1]]
+    return row[first], at[first], exact[first]
+
+
+def _matches(batches, ids: np.ndarray, y: np.ndarray, low: float):
+    """Batches (id, known_id, similarity) of batches (id, v) and a block of known vectors."""
+    order = np.argsort(ids, kind="stable")
+    ids, y = ids[order], y[order]
+    y32 = y.astype(np.float32)
+    for whole in batches:
+        for start in range(0, whole.num_rows, _PROBES):
+            batch = whole.slice(start, _PROBES)
+            row, at, s = _best(_unit(batch.column(1)), y, y32, low)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(ids[at]), pa.array(s)], names=["id", "known_id", "similarity"])
+
+
 def top_match(probes: DataFrame, known: DataFrame, threshold: float, block: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """(id, known_id, similarity): the known vector (id, v) most similar to each probe (id, v), if its cosine is above 0 and
     at the threshold or above; of equal ones (to nine digits) the smallest known id.
 
     Known vectors are sent in blocks of about ``block`` rows, one at a time: beyond one block each is a pass over the probes
-    whose answers, at most one row a probe, are written before the next is sent, so neither driver nor tasks hold more."""
+    whose answers, at most one row a probe, are written before the next is sent, so neither driver nor tasks hold more. A task
+    compares _PROBES probes at a time with the block, whatever the size of its batches."""
     spark = probes.sparkSession
     scratch = scratch or Scratch(spark, "match")
     n = known.count()
@@ -43,14 +75,7 @@ def top_match(probes: DataFrame, known: DataFrame, threshold: float, block: int
         sent = spark.sparkContext.broadcast((part.column(0).to_numpy(), _unit(part.column(1))))
 
         def run(batches, sent=sent):
-            ids, y = sent.value
-            order = np.argsort(ids, kind="stable")
-            ids, y = ids[order], y[order]
-            for batch in batches:
-                if batch.num_rows:
-                    s = np.round(_unit(batch.column(1)) @ y.T, 9)
-                    at = s.argmax(1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at]), pa.array(s[np.arange(len(at)), at])], names=["id", "known_id", "similarity"])
+            yield from _matches(batches, *sent.value, max(threshold, 0.0))
 
         rows = probes.select("id", "v").mapInArrow(run, "id long, known_id long, similarity double")
         if blocks > 1:

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +172,27 @@ def test_top_match(spark):
     assert rows(faces.top_match(probes, known.limit(0), 0.5)) == []
 
 
+def test_top_match_memory():
+    """A batch of many probes is compared with a block piece by piece, and equals the comparison as a whole, ties included."""
+    r = np.random.default_rng(5)
+    y = r.standard_normal((2000, 32))
+    y = np.concatenate([y, y[:50], y[:50] + 1e-8])
+    x = np.concatenate([r.standard_normal((9900, 32)), y[20:120] + 1e-3 * r.standard_normal((100, 32))])
+    ids = r.permutation(len(y)) + 1
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x))], names=["id", "v"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(faces._matches([batch], ids, unit(y), 0.4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = np.argsort(ids)
+    s = np.round(unit(x) @ unit(y)[order].T, 9)
+    keep = s.max(1) >= 0.4
+    assert keep.sum() > 100 and got.column("id").to_pylist() == np.flatnonzero(keep).tolist()
+    assert got.column("known_id").to_pylist() == ids[order][s.argmax(1)][keep].tolist() and np.array_equal(got.column("similarity"), s.max(1)[keep])
+    assert peak < 50e6 < s.nbytes
+
+
 def test_people(spark):
     people = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     f = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id long, person_id long")
