@@ -7,6 +7,7 @@ from heronry.plans.dedupe import QUERIES
 
 NAMES = [
     "dup_hamming_groups",
+    "dup_hamming_groups_10",
 ]
 
 
