@@ -8,6 +8,7 @@ from heronry.plans.dedupe import QUERIES
 NAMES = [
     "dup_hamming_groups",
     "dup_hamming_groups_10",
+    "dest_aware_skip",
 ]
 
 
