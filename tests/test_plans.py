@@ -9,6 +9,7 @@ NAMES = [
     "dup_hamming_groups",
     "dup_hamming_groups_10",
     "dest_aware_skip",
+    "dup_keep_plan",
 ]
 
 
