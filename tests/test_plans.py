@@ -10,6 +10,7 @@ NAMES = [
     "dup_hamming_groups_10",
     "dest_aware_skip",
     "dup_keep_plan",
+    "dup_refresh",
 ]
 
 
