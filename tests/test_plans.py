@@ -11,6 +11,7 @@ NAMES = [
     "dest_aware_skip",
     "dup_keep_plan",
     "dup_refresh",
+    "dup_representatives",
 ]
 
 
