@@ -12,6 +12,7 @@ NAMES = [
     "dup_keep_plan",
     "dup_refresh",
     "dup_representatives",
+    "dup_top_groups",
 ]
 
 
