@@ -13,6 +13,7 @@ NAMES = [
     "dup_refresh",
     "dup_representatives",
     "dup_top_groups",
+    "dup_best_lock",
 ]
 
 
