@@ -14,6 +14,7 @@ NAMES = [
     "dup_representatives",
     "dup_top_groups",
     "dup_best_lock",
+    "dup_hamming_pairs",
 ]
 
 
