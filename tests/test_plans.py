@@ -15,6 +15,7 @@ NAMES = [
     "dup_top_groups",
     "dup_best_lock",
     "dup_hamming_pairs",
+    "dup_report",
 ]
 
 
