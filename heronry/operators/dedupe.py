@@ -86,7 +86,8 @@ def delete_selected(groups: DataFrame, selected: DataFrame, permanent: bool = Fa
     """(path, verdict, dst): the files of a selection; best files are locked, files of no group are refused."""
     from heronry.functions.naming import trash_name
 
-    found = selected.select("path").distinct().join(groups.select("path", "is_best"), "path", "left")
+    # merged: stored paths are many times the size of their files, by which Spark would choose to broadcast them
+    found = selected.select("path").distinct().join(groups.select("path", "is_best").hint("merge"), "path", "left")
     verdict = F.when(F.col("is_best").isNull(), "unknown").when(F.col("is_best"), "locked").otherwise("permanent" if permanent else "trash")
     dst = F.when(verdict == "trash", F.concat(F.lit(".trash/"), trash_name(F.col("path"), stamp if stamp is not None else F.lit("0"))))
     return found.select("path", verdict.alias("verdict"), dst.alias("dst"))

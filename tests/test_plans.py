@@ -2,7 +2,8 @@
 
 import pytest
 
-from heronry.operators import hamming
+from heronry.operators import dedupe, hamming
+from heronry.session import Scratch
 from heronry.plans.dedupe import QUERIES
 
 NAMES = [
@@ -31,3 +32,17 @@ def test_keys_are_not_broadcast(spark, data, monkeypatch, name):
     monkeypatch.setattr(hamming, "_verified", kept)
     QUERIES[name](spark, data)
     assert plans and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
+def _stored_groups(spark):
+    g = spark.createDataFrame([("/a", "/a", True, 2), ("/a", "/b", False, 2)], "group_id string, path string, is_best boolean, group_size long")
+    return Scratch(spark, "plans").save(g, "groups")
+
+
+def test_chosen_files_meet_groups_merged(spark):
+    """The paths of stored groups, many times their files' size, are not gathered by the driver."""
+    g = _stored_groups(spark)
+    found = dedupe.delete_selected(g, spark.createDataFrame([("/a",), ("/b",), ("/c",)], "path string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r["path"], r["verdict"]) for r in found.collect()) == [("/a", "locked"), ("/b", "trash"), ("/c", "unknown")]
