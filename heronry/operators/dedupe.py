@@ -95,7 +95,7 @@ def delete_selected(groups: DataFrame, selected: DataFrame, permanent: bool = Fa
 
 def without(groups: DataFrame, gone: DataFrame) -> DataFrame:
     """The groups after files are gone; groups of one are no groups."""
-    left = groups.drop("group_size").join(gone.select("path"), "path", "left_anti")
+    left = groups.drop("group_size").join(gone.select("path").hint("merge"), "path", "left_anti")  # merged as in delete_selected
     size = left.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1")
     return left.join(size, "group_id")
 

@@ -46,3 +46,13 @@ def test_chosen_files_meet_groups_merged(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted((r["path"], r["verdict"]) for r in found.collect()) == [("/a", "locked"), ("/b", "trash"), ("/c", "unknown")]
+
+
+def test_gone_files_leave_groups_merged(spark):
+    """The paths that are gone are not gathered by the driver either."""
+    g = _stored_groups(spark)
+    gone = Scratch(spark, "plans").save(spark.createDataFrame([("/c",)], "path string"), "gone")
+    left = dedupe.without(g, gone)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftAnti" in x]
+    assert sorted((r["path"], r["group_size"]) for r in left.collect()) == [("/a", 2), ("/b", 2)]
